@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import urls
+from weft.llm import matroska, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,13 @@ FROM u
 
 QUERIES["op8_url_rules"] = op8_url_rules
 ORACLES["op8_url_rules"] = _op8_sql()
+
+
+# --- 7: media columns
+
+
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_matroska"] = op7_matroska
