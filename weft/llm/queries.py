@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import dedup, matroska, urls
+from weft.llm import dedup, matroska, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,41 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.m, w
   least(w.doc_id, coalesce(c.m, w.doc_id)) = w.doc_id AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id
 """
+
+
+# --- 3: quality
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with score; labels come only from rows that are not held out."""
+    model = quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"), 4, 2)), "quality")
+    return quality.score(docs, model)
+
+
+def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_scores(docs, _table(spark, sf_dir, "labels"))
+    held = F.coalesce(quality.held_out(F.col("doc_id"), 4, 2), F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES["op3_quality_ftrl"] = op3_quality_ftrl
+
+
+# --- 4: toxicity
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with score; labels come only from rows that are not held out."""
+    lexicon = toxicity.learn(docs, labels.filter(~quality.held_out(F.col("doc_id"), 5, 0)), "toxic")
+    return toxicity.score(docs, lexicon)
+
+
+def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_scores(docs, _table(spark, sf_dir, "labels"))
+    held = F.coalesce(quality.held_out(F.col("doc_id"), 5, 0), F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op4_toxicity_lexicon"] = op4_toxicity_lexicon
