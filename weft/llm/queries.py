@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import dedup, matroska, quality, toxicity, urls
+from weft.llm import dedup, language, matroska, pieces, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,17 @@ def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_toxicity_lexicon"] = op4_toxicity_lexicon
+
+
+# --- 9: language
+
+
+def op9_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(quality.held_out(F.col("doc_id"), 4, 2), F.lit(False))
+    table = pieces.load()
+    model = language.train(docs.filter(~held), table)
+    return language.predict(docs.select("doc_id", "text"), table, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op9_language_pieces"] = op9_language_pieces
