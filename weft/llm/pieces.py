@@ -94,13 +94,99 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield own, np.array([words[i] for i in own], dtype=f"U{n}").view(np.uint32).reshape(-1, int(n))
 
 
+def merged(chars: list[str], rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
+    """Byte-pair merging in its plain form: always the pair of the lowest rank, ties to the left; and the last merge."""
+    parts, last = list(chars), None
+    while len(parts) > 1:
+        r, i = min((rank.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if r == 1 << 30:
+            break
+        last = (parts[i], parts[i + 1])
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts, last
+
+
+class Neighbours:
+    """Which pieces may stand next to each other in an encoding by merges.
+
+    A sequence of pieces is the encoding of its text exactly if every two
+    neighbours are the encoding of theirs. Whether two are is found by undoing
+    their merges, the latest first: if the two parts that face each other would
+    have merged before the merge undone last, they aren't. Answers are kept in a
+    table of fixed size.
+    """
+
+    def __init__(self, table: PieceTable, slots: int = 1 << 20):
+        order = sorted(table.ids.items(), key=lambda x: (-table.scores[x[1]], x[1]))
+        rank = {p: r for r, (p, _) in enumerate(order)}
+        n = len(table.pieces)
+        self.n = np.int64(n)
+        #: A piece's rank, -1 for single characters; the halves that its last merge joined.
+        self.made, self.left, self.right = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        #: Pieces that merging their own characters gives.
+        self.whole = np.zeros(n, bool)
+        pairs = {}
+        for p, i in order:
+            parts, last = merged(list(p), rank)
+            self.whole[i] = len(parts) == 1
+            if last and len(parts) == 1:
+                self.made[i], self.left[i], self.right[i] = rank[p], table.ids[last[0]], table.ids[last[1]]
+            for k in range(1, len(p)):
+                a, b = table.ids.get(p[:k]), table.ids.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[a * n + b] = rank[p]
+        keys = np.array(sorted(pairs), np.int64)
+        self.pair_keys, self.pair_ranks = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
+        self.slots = slots
+        self.keys, self.answers = np.full(slots, -1, np.int64), np.zeros(slots, bool)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"keys": None, "answers": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.keys, self.answers = np.full(self.slots, -1, np.int64), np.zeros(self.slots, bool)
+
+    def _work_out(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        fits, live = np.ones(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), 1 << 40, np.int64)
+        a, b = a.copy(), b.copy()
+        while len(live):
+            key = a[live] * self.n + b[live]
+            place = np.searchsorted(self.pair_keys, key)
+            place[place == len(self.pair_keys)] = 0
+            earlier = (self.pair_keys[place] == key) & (self.pair_ranks[place] < limit[live])
+            fits[live[earlier]] = False
+            ra, rb = self.made[a[live]], self.made[b[live]]
+            go = ~earlier & ((ra >= 0) | (rb >= 0))
+            live, ra, rb = live[go], ra[go], rb[go]
+            first = ra > rb  # of equal ones the left was merged first, so the right is undone first
+            x, y = live[first], live[~first]
+            limit[x], limit[y] = ra[first], rb[~first] + 1
+            a[x], b[y] = self.right[a[x]], self.left[b[y]]
+        return fits
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of ids: whether b may follow a; -1 (an unknown character, or the start) fits everything."""
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        key = a * self.n + b
+        slot = ((key.astype(np.uint64) * _P) >> np.uint64(40)).astype(np.int64) % self.slots
+        known = (self.keys[slot] == key) | (a < 0) | (b < 0)
+        out = self.answers[slot] | (a < 0) | (b < 0)
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = self._work_out(a[new], b[new])
+            self.keys[slot[new]], self.answers[slot[new]] = key[new], out[new]
+        return out
+
+
 class WordCache:
     """Rows of results by word; ``compute`` makes those of new words. Emptied when it holds ``most`` words.
 
     ``places`` maps words to rows of ``self.rows``, which grows by doubling.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], most: int = 150_000):
+    def __init__(self, compute: Callable[[list[str]], list], most: int = 300_000):
         self.compute, self.most = compute, most
         self.places: dict[str, int] = {}
         self.results: list = []

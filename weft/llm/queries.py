@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import dedup, language, matroska, pieces, quality, toxicity, urls
+from weft.llm import dedup, language, matroska, pieces, quality, sentencepiece_scan, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +173,26 @@ def op9_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_language_pieces"] = op9_language_pieces
+
+
+# --- 10: SentencePiece
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, n_pieces, ids, and whether decoding them gives the text back."""
+    table = pieces.load()
+    both = sentencepiece_scan.decode(sentencepiece_scan.encode(docs.select("doc_id", "text"), table), table)
+    return both.select(
+        "doc_id",
+        F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"),
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        "ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+def op10_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_sentencepiece_scan"] = op10_sentencepiece_scan
