@@ -28,14 +28,14 @@ id cannot name a component: such rows form none and are kept.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm import checkpoints
 from weft.llm.batches import slices
 
 PERMUTATIONS, BANDS, ROWS, ROUNDS = 64, 25, 5, 3
@@ -194,13 +194,6 @@ def _confirm(percent: int):
     return run
 
 
-def _ensure_checkpoints(spark: SparkSession) -> None:
-    """The cluster's shared folder is spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) reaches.
 
@@ -208,7 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
     then jumps to the label of its label; chains shorten by half each round.
     """
     spark = edges.sparkSession
-    _ensure_checkpoints(spark)
+    checkpoints.ensure(spark)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).checkpoint()
     while True:
@@ -242,7 +235,7 @@ def near_duplicates(
     Linked: 100 * intersection >= percent * union of the shingle sets.
     """
     spark = docs.sparkSession
-    _ensure_checkpoints(spark)
+    checkpoints.ensure(spark)
     kind = dict(docs.dtypes)[id_col]
     sketched = sketch(docs, id_col, text_col, width).checkpoint()
     named = sketched.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import dedup, language, matroska, pieces, quality, sentencepiece_scan, toxicity, urls
+from weft.llm import dedup, language, matroska, mixing, pieces, quality, sentencepiece_scan, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,14 @@ def op10_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_sentencepiece_scan"] = op10_sentencepiece_scan
+
+
+# --- 5: mixing
+
+
+def op5_mixing_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "block", "slot", "position")
+
+
+QUERIES["op5_mixing_pfair"] = op5_mixing_pfair
