@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import dedup, language, matroska, mixing, pieces, quality, sentencepiece_scan, toxicity, urls
+from weft.llm import dedup, language, matroska, mixing, neighbours, pieces, quality, sentencepiece_scan, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,3 +207,14 @@ def op5_mixing_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_mixing_pfair"] = op5_mixing_pfair
+
+
+# --- 2: nearest neighbours
+
+
+def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES["op2_rotated_codes"] = op2_rotated_codes
