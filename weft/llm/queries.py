@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import dedup, language, matroska, mixing, neighbours, pieces, quality, sentencepiece_scan, toxicity, urls
+from weft.llm import dedup, html, language, matroska, mixing, neighbours, pieces, quality, sentencepiece_scan, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,14 @@ def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_rotated_codes"] = op2_rotated_codes
+
+
+# --- 1: HTML extraction
+
+
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.train())
+
+
+QUERIES["op1_html_blocks"] = op1_html_blocks
