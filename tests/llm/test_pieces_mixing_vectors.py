@@ -1,0 +1,176 @@
+import random
+from collections import Counter
+from math import sqrt
+
+import numpy as np
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from weft.llm import mixing, neighbours, pieces
+from weft.llm import sentencepiece_scan as scan
+
+
+@pytest.fixture(scope="module")
+def table():
+    return pieces.load()
+
+
+@pytest.fixture(scope="module")
+def model(table):
+    return scan.Model(table)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+LETTERS = st.text(st.one_of(st.sampled_from("aeinstr thing  \n\t=-é漢😀"), st.characters(exclude_categories=["Cs"])), max_size=60).filter(lambda s: pieces.MARK not in s and "\0" not in s)
+
+
+@settings(max_examples=300, deadline=None)
+@given(LETTERS)
+def test_ids_are_the_library_s(model, library, text):
+    ids, counts = scan.Encoder(model)([scan.split_words(text) if text else []])
+    assert ids.tolist() == library.encode(text) and counts.tolist() == [len(ids)]
+    assert scan.Decoder(model.table)(ids, counts) == [text]
+
+
+@settings(max_examples=60, deadline=None)
+@given(LETTERS, st.sampled_from([17, 20, 33]), st.booleans())
+def test_chunks_and_matrices_give_the_same(model, library, text, size, spaces):
+    whole = " " + (text * 4 if spaces else (text * 4).replace(" ", ""))
+    width, parts, sure_in = model.table.longest, [], True
+    for a, b, sure in scan.chunks(whole, size):
+        lo = a if sure_in else max(0, a - width)
+        parts.append((whole[lo : b if sure else b + width], a - lo, b - lo, sure_in, sure))
+        sure_in = sure
+    states = scan.boundary_states([scan.transfer(model, *p) for p in parts])
+    got = [i for p, x, y in zip(parts, states, states[1:]) for i in scan.trace(model, *p, x, y)]
+    assert got == (library.encode(whole[1:]) if len(whole) > 1 else scan.trace(model, " ", 0, 1, True, True))
+
+
+def test_products_are_associative():
+    rng = np.random.default_rng(0)
+    a, b, c = (np.where(rng.random(s) < 0.5, -np.inf, rng.random(s)) for s in ((3, 4), (4, 2), (2, 5)))
+    assert np.allclose(scan.product(scan.product(a, b), c), scan.product(a, scan.product(b, c)))
+
+
+def test_giant_texts_over_the_cluster(spark, table, library):
+    rng = random.Random(1)
+    run = "".join(rng.choices("abcdethinges", k=3000))
+    texts = [None, "", " ", "plain text", "words and more " * 400, run, run + " " + run, "x" * 2500, "words and more " * 400]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    got = scan.decode(scan.encode(docs, table, giant=1000, chunk=256), table)
+    assert got.columns == ["doc_id", "text", "ids", "decoded"]
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.decoded == r.text
+        assert r.ids == (None if r.text is None else library.encode(r.text)), r.doc_id
+    assert scan.encode(docs.limit(0), table).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.floats(0.001, 1), min_size=1, max_size=12))
+def test_schedule_stays_within_a_block(weights):
+    period = mixing.FINENESS * len(weights)
+    slots = mixing.shares(weights, period)
+    given_ = Counter()
+    for t, (i, k) in enumerate(mixing.schedule(slots), 1):
+        assert k == given_[i]
+        given_[i] += 1
+        assert all(abs(mixing.deviation(given_[j], s, period, t)) < 1 for j, s in enumerate(slots))
+    assert [given_[i] for i in range(len(slots))] == slots
+
+
+def simulated(sizes, weights, block):
+    """The mixture slot by slot: sources in order of their slots, each epoch planned anew."""
+    left = [-(-n // block) for n in sizes]
+    given_, order = [0] * len(sizes), []
+    while any(left):
+        live = [i for i, n in enumerate(left) if n]
+        slots = mixing.shares([weights[i] for i in live], mixing.FINENESS * len(live))
+        one, ended = mixing.schedule(slots), False
+        while not ended:
+            for j, _ in one:
+                i = live[j]
+                order.append((i, given_[i]))
+                given_[i] += 1
+                left[i] -= 1
+                if not left[i]:
+                    ended = True
+                    break
+    return order
+
+
+def test_mixture_keeps_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    sizes = {"a": 400, "b": 90, None: 33, "": 1}
+    rows = [(i * 10 + k, s, "x") for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, source string, slot string").repartition(5)
+    got = mixing.mix(docs, block=4).toPandas()
+    assert Counter(zip(got["doc_id"], got["source"])) == Counter((i, s) for i, s, _ in [*rows, rows[0]])
+    assert got["position"].is_unique
+    names = [("", True), ("", False), ("a", False), ("b", False)]
+    order = sorted([(s is None, s or "") for s in sizes])
+    counts = [401, 90, 33, 1]
+    size = {(s is None, s or ""): n for s, n in zip(sizes, counts)}
+    want = simulated([size[s] for s in order], [sqrt(size[s]) for s in order], 4)
+    seen = got.drop_duplicates("slot").sort_values("slot")
+    assert [((s is None, s or ""), b) for s, b in zip(seen["source"], seen["block"])] == [(order[i], k) for i, k in want]
+    assert list(seen["slot"]) == list(range(len(want))) and names
+    in_order = mixing.in_order(mixing.mix(docs, block=4)).collect()
+    assert [r.position for r in in_order] == sorted(r.position for r in in_order)
+
+
+def test_weights_and_empty_tables(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(400)], "doc_id long, source string")
+    got = mixing.mix(docs, {"a": 3.0, "b": 1.0}, block=5).filter("slot < 40").groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in got} == {"a": 150, "b": 50}
+    assert mixing.mix(docs, {"a": 0.0, "b": 1.0}).filter("source = 'a'").agg(F.min("slot")).first()[0] == 13
+    assert mixing.mix(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"a": -1.0, "b": 1.0})
+
+
+def test_estimates_keep_their_bounds():
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((4000, 96))
+    centre = v.mean(axis=0)
+    codes, length, own = neighbours.encode(v, centre)
+    assert codes.shape == (4000, 2) and codes.dtype == np.uint64
+    outside = 0
+    for q in v[:20]:
+        square, error = neighbours.estimates(codes, length, own, q, centre)
+        outside += (np.abs(square - ((v - q) ** 2).sum(axis=1)) > error).sum()
+    assert outside / 80_000 < 0.02
+
+
+def test_recall_and_odd_vectors(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((1500, 40)).astype(np.float32)
+    v[500:520] = v[500]  # equal vectors: ties go to the smaller id
+    rows = [(i, x.tolist(), "r") for i, x in enumerate(v)]
+    rows += [(2000, None, ""), (2100, [0.0] * 40, ""), (2200, [float("nan")] * 40, ""), (2300, [None] * 40, ""), (2400, [1.0, 2.0], ""), (2500, [float("inf")] * 40, "")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
+    got = neighbours.nearest(table, F.col("vec_id") % 100 == 0, block=400, query_block=4).toPandas()
+    assert set(got["query_id"]) == set(range(0, 1500, 100)) and len(got) == 150
+    hit, d = 0, v.astype(float)
+    for q, part in got.groupby("query_id"):
+        exact = np.sqrt(((d - d[q]) ** 2).sum(axis=1))
+        exact[q] = np.inf
+        want = np.lexsort((np.arange(1500), exact))[:10]
+        hit += len(set(want) & set(part["vec_id"]))
+        part = part.sort_values("rank")
+        assert list(part["rank"]) == list(range(1, 11)) and np.allclose(part["score"], exact[part["vec_id"]], rtol=1e-12)
+        if q == 500:
+            assert list(part["vec_id"]) == list(range(501, 511))
+    assert hit / 150 >= 0.95
+    few = neighbours.nearest(table.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
+    assert [r.rank for r in sorted(few)] == [1, 2]
+    assert neighbours.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
+    assert neighbours.nearest(table, F.lit(False)).count() == 0
