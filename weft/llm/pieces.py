@@ -29,16 +29,14 @@ class PieceTable:
         self.pieces, self.scores, self.byte_ids, self.unknown = pieces, scores, byte_ids, unknown
         self.ids = {p.replace(MARK, " "): i for i, p in enumerate(pieces) if usable[i]}
         self.longest = max(map(len, self.ids), default=1)
-        self.by_length: list[tuple[np.ndarray, np.ndarray] | None] = [None]
+        #: For each length the hashes of all beginnings of pieces, sorted, and the ids of those that are pieces (else -1).
+        self.beginnings: list[tuple[np.ndarray, np.ndarray]] = []
         for n in range(1, self.longest + 1):
-            own = [(p, i) for p, i in self.ids.items() if len(p) == n]
-            if not own:
-                self.by_length.append(None)
-                continue
-            h = self._hash(np.array([p for p, _ in own], dtype=f"U{n}").view(np.uint32).reshape(-1, n))
+            own = sorted({p[:n] for p in self.ids if len(p) >= n})
+            h = self._hash(np.array(own, dtype=f"U{n}").view(np.uint32).reshape(-1, n))
             order = np.argsort(h)
             assert len(np.unique(h)) == len(h)
-            self.by_length.append((h[order], np.array([i for _, i in own], np.int32)[order]))
+            self.beginnings.append((h[order], np.array([self.ids.get(p, -1) for p in own], np.int32)[order]))
 
     @staticmethod
     def _step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -55,17 +53,20 @@ class PieceTable:
         """(start, length, rows, ids) for each place of a (words, n) matrix, starts ascending; only rows with a piece there."""
         n = codes.shape[1]
         for i in range(n):
-            h = np.full(len(codes), 1, np.uint64)
+            rows, h = np.arange(len(codes)), np.full(len(codes), 1, np.uint64)
             for k in range(1, min(self.longest, n - i) + 1):
-                h = self._step(h, codes[:, i + k - 1])
-                if self.by_length[k] is None:
-                    continue
-                known, ids = self.by_length[k]
+                h = self._step(h, codes[rows, i + k - 1])
+                known, ids = self.beginnings[k - 1]
                 place = np.searchsorted(known, h)
                 place[place == len(known)] = 0
-                rows = np.flatnonzero(known[place] == h)
-                if len(rows):
-                    yield i, k, rows, ids[place[rows]]
+                ok = known[place] == h
+                rows, h, place = rows[ok], h[ok], place[ok]
+                if not len(rows):
+                    break
+                found = ids[place]
+                real = found >= 0
+                if real.any():
+                    yield i, k, rows[real], found[real]
 
 
 def load(path: str = MODEL) -> PieceTable:
@@ -197,7 +198,7 @@ class WordCache:
             self.places.clear()
             self.results.clear()
         places = self.places
-        new = sorted(set(words) - places.keys())
+        new = list(set(words) - places.keys())
         if new:
             for w, r in zip(new, self.compute(new)):
                 places[w] = len(self.results)

@@ -40,12 +40,14 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from weft.llm.batches import slices
-from weft.llm.pieces import LOCKSTEP, MARK, Neighbours, PieceTable, WordCache, by_length
+from weft.llm.pieces import LOCKSTEP, MARK, Neighbours, PieceTable, by_length
 
 GIANT, CHUNK = 65_536, 16_384
+#: Text bytes whose words are looked up together; more of them are equal in a larger slice.
+SLICE = 6 << 20
 #: How far back from a chunk's nominal end a place before a space is looked for.
 LOOK_BACK = 1_024
 
@@ -150,13 +152,15 @@ def trace(model: Model, text: str, start: int, end: int, sure_in: bool, sure_out
     return [x for i, j, piece in out[::-1] for x in ([piece] if piece >= 0 else _expand(model.table, text[i:j]))]
 
 
-def encode_words(model: Model, words: list[str]) -> list[np.ndarray]:
-    """Ids of each word (with its spaces in front), all words of a length in lockstep.
+def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words (each with its spaces in front) one after the other, and how many each has.
 
-    Every beginning of a word has one encoding, so each place holds one last
-    piece, and a piece extends it if the two fit.
+    All words of a length go in lockstep. Every beginning of a word has one
+    encoding, so each place holds one last piece, and a piece extends it if the
+    two fit.
     """
-    table, near, out = model.table, model.near, [None] * len(words)
+    table, near = model.table, model.near
+    sizes, made = np.zeros(len(words), np.int64), []
     for own, codes in by_length(words):
         m, n = codes.shape
         last, back = np.full((m, n + 1), -1, np.int64), np.ones((m, n + 1), np.int8)
@@ -167,46 +171,78 @@ def encode_words(model: Model, words: list[str]) -> list[np.ndarray]:
         back[:, 0] = 0
         every, at, steps = np.arange(m), np.full(m, n), []
         while (at > 0).any():
-            live = at > 0
-            steps.append((np.where(live, last[every, at], -2), at))
+            steps.append((np.where(at > 0, last[every, at], -2), at))
             at = at - back[every, at]
         ids, places = (np.array([s[x] for s in steps[::-1]]).T for x in (0, 1))
-        real = ids != -2
-        found = np.split(ids[real].astype(np.int32), np.cumsum(real.sum(axis=1))[:-1])
-        for row in np.flatnonzero((ids == -1).any(axis=1)).tolist():
-            ends = places[row][real[row]].tolist()
-            found[row] = np.array([x for f, p in zip(found[row].tolist(), ends) for x in ([f] if f >= 0 else _expand(table, words[own[row]][p - 1]))], np.int32)
-        for i, f in zip(own.tolist(), found):
-            out[i] = f
+        real, unknown = ids != -2, ids == -1
+        char = codes[np.nonzero(unknown)[0], places[unknown] - 1]
+        ids[unknown] = np.where(char < 128, table.byte_ids[np.minimum(char, 127)], -1)  # one byte, one piece
+        unknown = (ids == -1).any(axis=1)
+        sizes[own] = real.sum(axis=1)
+        made.append((own[~unknown], ids[~unknown][real[~unknown]]))
+        for row in np.flatnonzero(unknown).tolist():
+            word, ends = words[own[row]], places[row][real[row]].tolist()
+            found = [x for f, p in zip(ids[row][real[row]].tolist(), ends) for x in ([f] if f >= 0 else _expand(table, word[p - 1]))]
+            sizes[own[row]] = len(found)
+            made.append((own[row : row + 1], np.array(found)))
     for i, w in enumerate(words):
         if len(w) > LOCKSTEP:
-            out[i] = np.array(trace(model, w, 0, len(w), True, True), np.int32)
-    return out
+            found = trace(model, w, 0, len(w), True, True)
+            sizes[i] = len(found)
+            made.append((np.array([i]), np.array(found)))
+    starts, flat = np.cumsum(sizes) - sizes, np.zeros(sizes.sum(), np.int32)
+    for own, ids in made:
+        n = sizes[own]
+        flat[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = ids
+    return flat, sizes
 
 
 def split_words(text: str) -> list[str]:
-    """The text behind one space, cut before every space that follows another character."""
-    parts = text.split(" ")
-    return [" " + p for p in parts] if "" not in parts else _SPACED.findall(" " + text)
+    """The text behind one space, cut before every space that follows another character and around line ends.
+
+    Line ends have no piece but their byte's, so nothing merges over them.
+    """
+    out: list[str] = []
+    for k, line in enumerate((" " + text).split("\n")):
+        if k:
+            out.append("\n")
+        if line:
+            first, *rest = line.split(" ")
+            if "" in rest:
+                out += _SPACED.findall(line) if not first else [first, *_SPACED.findall(line[len(first) :])]
+            else:
+                if first:
+                    out.append(first)
+                out += [" " + w for w in rest]
+    return out
 
 
 class Encoder:
-    """Texts -> flat ids and their number for each text."""
-
-    def __init__(self, model: Model):
-        self.cache = WordCache(lambda new: encode_words(model, new))
-
-    def __call__(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        place = self.cache([w for ws in words for w in ws])
-        if not len(place):
-            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
-        used, inverse = np.unique(place, return_inverse=True)
-        rows = list(map(self.cache.results.__getitem__, used.tolist()))
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat, starts = np.concatenate(rows), np.cumsum(sizes) - sizes
-        n = sizes[inverse]
-        ids = flat[np.repeat(starts[inverse] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    """Lists of words -> flat ids and their number for each list. Words of late are kept, ``most`` of them."""
+
+    def __init__(self, model: Model, most: int = 500_000):
+        if any("\n" in p for p in model.table.ids):
+            raise ValueError("a vocabulary with pieces over line ends")
+        self.model, self.most = model, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def __call__(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        words = [w for ws in lists for w in ws]
+        if len(self.places) > self.most:
+            self.clear()
+        new = list(set(words) - self.places.keys())
+        if new:
+            flat, sizes = encode_words(self.model, new)
+            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        place = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        starts, n = np.cumsum(self.sizes) - self.sizes, self.sizes[place]
+        ids = self.flat[np.repeat(starts[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
         upto = np.concatenate([[0], np.cumsum(n)])
         return ids, np.diff(upto[np.concatenate([[0], ends])])
 
@@ -251,25 +287,36 @@ def chunks(text: str, size: int = CHUNK) -> list[tuple[int, int, bool]]:
     return out
 
 
-def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col: str = "ids", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with the ids of each whole text; all columns are kept."""
-    kept = docs.drop(ids_col)
+def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` with the ids of each whole text; all columns are kept.
+
+    ``check_col`` names a column that tells whether decoding the ids gave the text back.
+    """
+    kept = docs.drop(ids_col, check_col or ids_col)
     short = kept.filter(F.coalesce(F.char_length(text_col), F.lit(0)) <= giant)
     long = kept.filter(F.char_length(text_col) > giant)
     where = kept.columns.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(Model(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value)
+        encoder, decoder = Encoder(held.value), Decoder(held.value.table)
         for whole in batches:
-            for part in slices(whole, where):
+            for part in slices(whole, where, SLICE):
                 texts = part.column(where).to_pylist()
                 ids, counts = encoder([split_words(t) if t else [] for t in texts])
                 null = np.array([t is None for t in texts], bool)
-                yield part.append_column(ids_col, _list_array(ids, counts, null))
+                made = part.append_column(ids_col, _list_array(ids, counts, null))
+                if check_col:
+                    same = [a == (b or "") for a, b in zip(decoder(ids, counts), texts)]
+                    made = made.append_column(check_col, pa.array(same, pa.bool_()))
+                yield made
 
-    done = short.mapInArrow(run, StructType([*kept.schema.fields]).add(ids_col, ArrayType(IntegerType())))
-    return done.unionByName(_encode_giants(long, held, text_col, ids_col, chunk))
+    schema = StructType([*kept.schema.fields]).add(ids_col, ArrayType(IntegerType()))
+    done = short.mapInArrow(run, schema.add(check_col, BooleanType()) if check_col else schema)
+    giants = _encode_giants(long, held, text_col, ids_col, chunk)
+    if check_col:
+        giants = decode(giants, table, ids_col, "_decoded").withColumn(check_col, F.col("_decoded") == F.col(text_col)).drop("_decoded")
+    return done.unionByName(giants)
 
 
 def _encode_giants(docs: DataFrame, held, text_col: str, ids_col: str, chunk: int) -> DataFrame:
@@ -311,13 +358,17 @@ def _encode_giants(docs: DataFrame, held, text_col: str, ids_col: str, chunk: in
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value)
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["sure_in"] and r["sure_out"]:
-                    ids, _ = encoder([_SPACED.findall(r["part"])])
-                else:
-                    ids = np.array(trace(held.value, *(r[x] for x in names[3:]), r["entry"], r["exit"]), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"]]), pa.array([r["k"]], pa.int32()), _list_array(ids, np.array([len(ids)]))], ["key", "k", "ids"])
+        for whole in batches:
+            for batch in slices(whole, 2, SLICE):
+                rows = batch.to_pylist()
+                closed = [split_words(r["part"][1:]) if r["sure_in"] and r["sure_out"] else [] for r in rows]
+                ids, counts = encoder(closed)
+                lists = np.split(ids, np.cumsum(counts)[:-1])
+                for i, r in enumerate(rows):
+                    if not closed[i]:
+                        lists[i] = np.array(trace(held.value, *(r[x] for x in names[3:]), r["entry"], r["exit"]), np.int32)
+                made = _list_array(np.concatenate(lists), np.array(list(map(len, lists))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["key", "k", "ids"])
 
     traced = placed.select("key", "k", *names[3:], "entry", "exit").mapInArrow(follow, "key string, k int, ids array<int>")
     joined = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("all"))
