@@ -14,11 +14,13 @@ The jobs, in order:
    id) stands for all;
 2. band keys are grouped (partial aggregates first, so hot bands are summed
    before the shuffle); in each band one member, drawn by hash, is the hub and
-   gives one candidate pair a member. Further rounds draw new hubs among the
-   members that are not yet connected to their band's hub, so no band is ever
-   expanded into all its pairs;
-3. candidate pairs are confirmed on the full shingle sets, in integers;
-4. connected components over confirmed pairs by min-label propagation with
+   gives one candidate pair a member, which connects most of a large group of
+   copies without expanding it into its pairs; a second round draws new hubs;
+3. then the rest, whole: members that are still outside their band's largest
+   component meet all members with another label, each such pair in the first
+   band that it shares only. Pairs within a component are never made;
+4. candidate pairs are confirmed on the full shingle sets, in integers;
+5. connected components over confirmed pairs by min-label propagation with
    pointer jumping, lineage cut by ``checkpoint()``.
 
 Null and empty texts, and texts of white space only, have no shingles and link
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from weft.llm import checkpoints
 from weft.llm.batches import slices
 
-PERMUTATIONS, BANDS, ROWS, ROUNDS = 64, 25, 5, 3
+PERMUTATIONS, BANDS, ROWS, ROUNDS = 64, 25, 5, 2
 
 _M64 = (1 << 64) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -215,6 +217,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links, by their full sets."""
+    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    with_both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    return with_both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), f"a {kind}, b {kind}").checkpoint()
+
+
+def _across(banded: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a band's members with different labels of which one is outside the band's largest component.
+
+    What a band's largest component holds is connected already, so these are all
+    the pairs that can still connect anything.
+    """
+    known = labels.withColumnsRenamed({"node": "rep", "label": "found"})
+    members = banded.join(known, "rep", "left").select("band", "rep", "n", F.coalesce("found", "rep").alias("label"))
+    sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    members = members.join(mixed.select("band", "most"), "band").join(classes.select("rep", "bands"), "rep")
+    members = members.withColumn("outside", F.col("label") != F.col("most")).drop("most").checkpoint()
+    x = members.filter("outside").select("band", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "label", "bands")])
+    y = members.select("band", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "label", "bands", "outside")])
+    on = (
+        (x["band"] == y["band"])
+        & (F.col("x_label") != F.col("y_label"))
+        & (~F.col("y_outside") | (F.col("x_rep") < F.col("y_rep")))
+        & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+        & (F.get(F.array_intersect("x_bands", "y_bands"), F.lit(0)) == x["band"])
+    )
+    # a pair may come from its other member's side too, where each is outside in another band
+    return x.join(y, on).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct().checkpoint()
+
+
 #: Ids that may be broadcast: 8 bytes each, so 16 MB before Spark's own overhead.
 BROADCAST_IDS = 2_000_000
 
@@ -262,16 +296,14 @@ def near_duplicates(
         pairs = pairs.checkpoint()
         if not pairs.limit(1).count():
             break
-        confirmed = (
-            pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", "sa", "sb")
-            .mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
-            .checkpoint()
-        )
+        confirmed = _confirmed(pairs, sets, kind, percent)
         tried = pairs if tried is None else tried.union(pairs)
         links = confirmed if links is None else links.union(confirmed)
         labels = components(links)
+    if labels is not None:
+        rest = _confirmed(_across(banded, classes, labels, percent).join(tried, ["a", "b"], "left_anti"), sets, kind, percent)
+        if rest.limit(1).count():
+            labels = components(links.union(rest))
     if labels is None:
         labels = spark.createDataFrame([], f"node {kind}, label {kind}")
     reps = classes.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("found"))
