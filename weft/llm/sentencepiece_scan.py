@@ -47,7 +47,7 @@ from weft.llm.pieces import LOCKSTEP, MARK, Neighbours, PieceTable, by_length
 
 GIANT, CHUNK = 65_536, 16_384
 #: Text bytes whose words are looked up together; more of them are equal in a larger slice.
-SLICE = 6 << 20
+SLICE = 3 << 20
 #: How far back from a chunk's nominal end a place before a space is looked for.
 LOOK_BACK = 1_024
 
@@ -220,7 +220,7 @@ def split_words(text: str) -> list[str]:
 class Encoder:
     """Lists of words -> flat ids and their number for each list. Words of late are kept, ``most`` of them."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 200_000):
         if any("\n" in p for p in model.table.ids):
             raise ValueError("a vocabulary with pieces over line ends")
         self.model, self.most = model, most
