@@ -90,3 +90,30 @@ def test_min_and_max_agree_as_often_as_the_sets_do():
     s = dedup.signatures(np.concatenate([a, b]), np.array([1000, 1000]))
     assert s.shape == (2, 2 * dedup.PERMUTATIONS)
     assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.15
+
+
+def test_parity_maps_bound_the_difference():
+    raw = [t.encode() for _, t in texts(3) if t] + [b""]
+    h, counts = dedup.shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw]))
+    maps = np.unpackbits(dedup.parity_maps(h, counts).view(np.uint8), axis=1)
+    sets = [set(part.tolist()) for part in np.split(h, np.cumsum(counts)[:-1])]
+    for a, x in zip(maps, sets):
+        for b, y in zip(maps, sets):
+            assert (a != b).sum() <= len(x ^ y)
+    assert dedup.parity_maps(h[:0], counts[:0]).shape == (0, dedup.WORDS)
+
+
+def test_a_group_in_many_components(spark):
+    """Copies with many changes share bands, and only some of them are links."""
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(90)]
+    rows = []
+    for i in range(120):
+        near = list(base)
+        for _ in range(rng.randint(0, 5)):
+            near[rng.randrange(len(near))] = f"x{rng.randint(0, 9000)}"
+        rows.append((i, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (1, 2):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(docs, rounds=rounds).collect()}
+        assert got == brute(rows)

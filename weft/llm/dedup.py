@@ -18,7 +18,10 @@ The jobs, in order:
    copies without expanding it into its pairs; a second round draws new hubs;
 3. then the rest, whole: members that are still outside their band's largest
    component meet all members with another label, each such pair in the first
-   band that it shares only. Pairs within a component are never made;
+   band that it shares only, and only if a bound on the similarity allows a
+   link: bit ``h mod 1024`` of a set's parity map is flipped by each shingle, so
+   the bits in which two maps differ are at most as many as the shingles in
+   which the sets differ. Pairs within a component are never made;
 4. candidate pairs are confirmed on the full shingle sets, in integers;
 5. connected components over confirmed pairs by min-label propagation with
    pointer jumping, lineage cut by ``checkpoint()``.
@@ -42,6 +45,9 @@ from weft.llm.batches import slices
 
 PERMUTATIONS, BANDS, ROWS, ROUNDS = 64, 25, 5, 2
 
+#: 64-bit words of a parity map.
+WORDS = 16
+
 _M64 = (1 << 64) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -137,8 +143,22 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parity_maps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts, WORDS) int64: for each text the parity of its shingles in each of 64 * WORDS buckets."""
+    bits = 64 * WORDS
+    bucket = (mix(hashes ^ _P) % np.uint64(bits)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros((len(counts), WORDS), np.int64)
+    for i in range(0, len(counts), 1024):
+        some = counts[i : i + 1024]
+        at = np.repeat(np.arange(len(some)) * bits, some) + bucket[ends[i] : ends[i + len(some)]]
+        odd = np.bincount(at, minlength=len(some) * bits) % 2 == 1
+        out[i : i + 1024] = np.packbits(odd.reshape(len(some), bits), axis=1).view(np.int64)
+    return out
+
+
 def _sketch(width: int, with_bands: bool):
-    """Arrow batches of (id, text) -> id, n_shingles, fingerprint, then band keys or the shingle set."""
+    """Arrow batches of (id, text) -> id, n_shingles, fingerprint, then band keys and parity map or the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -156,20 +176,22 @@ def _sketch(width: int, with_bands: bool):
                     keys = band_keys(signatures(h, counts))
                     offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))))
+                    every = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * np.int32(WORDS))
+                    cols.append(pa.ListArray.from_arrays(every, pa.array(parity_maps(h, counts).reshape(-1))))
                 else:
                     offsets = np.concatenate([[0], np.cumsum(counts * 8)]).astype(np.int64)
                     held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(h.tobytes())])
                     cols.append(held.cast(pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "f1", "f2", "bands" if with_bands else "shingles"])
+                yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "f1", "f2", *(("bands", "map") if with_bands else ("shingles",))])
 
     return run
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """id, n_shingles, f1 and f2 (fingerprint of the set), bands (array of BANDS keys; empty for empty sets)."""
+    """id, n_shingles, f1 and f2 (fingerprint of the set), bands (array of BANDS keys; empty for empty sets), map (parity map)."""
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(
-        _sketch(width, True), f"id {kind}, n_shingles long, f1 long, f2 long, bands array<long>"
+        _sketch(width, True), f"id {kind}, n_shingles long, f1 long, f2 long, bands array<long>, map array<long>"
     )
 
 
@@ -234,15 +256,18 @@ def _across(banded: DataFrame, classes: DataFrame, labels: DataFrame, percent: i
     members = banded.join(known, "rep", "left").select("band", "rep", "n", F.coalesce("found", "rep").alias("label"))
     sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    members = members.join(mixed.select("band", "most"), "band").join(classes.select("rep", "bands"), "rep")
+    members = members.join(mixed.select("band", "most"), "band").join(classes.select("rep", "bands", "map"), "rep")
     members = members.withColumn("outside", F.col("label") != F.col("most")).drop("most").checkpoint()
-    x = members.filter("outside").select("band", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "label", "bands")])
-    y = members.select("band", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "label", "bands", "outside")])
+    x = members.filter("outside").select("band", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "label", "bands", "map")])
+    y = members.select("band", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "label", "bands", "map", "outside")])
+    # of sizes summing to S, sets that differ in D shingles are linked if 100 * (S - D) >= percent * (S + D)
+    apart = sum(F.bit_count(F.get("x_map", F.lit(i)).bitwiseXOR(F.get("y_map", F.lit(i)))) for i in range(WORDS))
     on = (
         (x["band"] == y["band"])
         & (F.col("x_label") != F.col("y_label"))
         & (~F.col("y_outside") | (F.col("x_rep") < F.col("y_rep")))
         & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+        & ((100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("y_n")))
         & (F.get(F.array_intersect("x_bands", "y_bands"), F.lit(0)) == x["band"])
     )
     # a pair may come from its other member's side too, where each is outside in another band
@@ -273,7 +298,7 @@ def near_duplicates(
     kind = dict(docs.dtypes)[id_col]
     sketched = sketch(docs, id_col, text_col, width).checkpoint()
     named = sketched.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    classes = named.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = named.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("map").alias("map"))
     spread = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("in_band")).filter("in_band > 1").select("band")
     banded = spread.join(shared, "band", "left_semi").checkpoint()
