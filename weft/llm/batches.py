@@ -6,20 +6,32 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import SparkSession
 
 #: Text bytes that a task holds at once, besides one text of any length.
 SLICE_BYTES = 2 << 20
 
+#: Spark's bound on the bytes of an Arrow batch and that setting's default.
+_KEY, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound(spark: SparkSession, most: str = "3m") -> None:
+    """Batches of at most ``most`` (or one row) between Spark and Python, unless the session has a bound of its own."""
+    if spark.conf.get(_KEY, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_KEY, most)
+
 
 def slices(batch: pa.RecordBatch, column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of ``batch`` with up to ``most`` bytes in the column, or with one row."""
+    """Consecutive parts of ``batch`` of about the same size, with up to ``most`` bytes in the column, or with one row."""
     texts = batch.column(column)
     if not len(texts):
         return
     sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    total = sum(sizes)
+    even = min(most, total // -(-total // most) + most // 16) if total else most
     start = held = 0
     for i, n in enumerate(sizes):
-        if i > start and held + n > most:
+        if i > start and held + n > even:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import checkpoints
-from weft.llm.batches import slices
+from weft.llm.batches import bound, slices
 
 PERMUTATIONS, BANDS, ROWS, ROUNDS = 64, 25, 5, 2
 
@@ -295,6 +295,7 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     checkpoints.ensure(spark)
+    bound(spark)
     kind = dict(docs.dtypes)[id_col]
     sketched = sketch(docs, id_col, text_col, width).checkpoint()
     named = sketched.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.batches import slices
+from weft.llm.batches import bound, slices
 
 BITS, SHARDS, EPOCHS = 18, 6, 4
 #: FTRL's learning rate, its smoothing, and the L1 and L2 strengths.
@@ -128,6 +128,7 @@ def sample_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id", mos
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
     """Weights and intercept from the documents that ``labels`` names."""
+    bound(docs.sparkSession)
     bounded = docs.select(id_col, text_col).join(F.broadcast(sample_labels(labels, label_col, id_col, max_rows)), id_col)
     shard = F.pmod(F.xxhash64(F.lit("shard"), id_col), F.lit(SHARDS))
 
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text; all columns are kept."""
+    bound(docs.sparkSession)
     weights, intercept = model
     held = docs.sparkSession.sparkContext.broadcast(weights)
     where = docs.columns.index(text_col)

@@ -42,12 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from weft.llm.batches import slices
+from weft.llm.batches import bound, slices
 from weft.llm.pieces import LOCKSTEP, MARK, Neighbours, PieceTable, by_length
 
 GIANT, CHUNK = 65_536, 16_384
-#: Text bytes whose words are looked up together; more of them are equal in a larger slice.
-SLICE = 3 << 20
+#: Text bytes whose words are looked up together (more of them are equal in a larger slice), and whose ids are put together.
+SLICE, PART = 4 << 20, 1 << 20
 #: How far back from a chunk's nominal end a place before a space is looked for.
 LOOK_BACK = 1_024
 
@@ -229,22 +229,31 @@ class Encoder:
     def clear(self) -> None:
         self.places: dict[str, int] = {}
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.starts = self.sizes
 
-    def __call__(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        words = [w for ws in lists for w in ws]
+    def learn(self, lists: list[list[str]]) -> None:
+        """Encodes the words that are new; those of the next calls should be among ``lists``."""
         if len(self.places) > self.most:
             self.clear()
-        new = list(set(words) - self.places.keys())
+        new = list(set().union(*lists) - self.places.keys())
         if new:
             flat, sizes = encode_words(self.model, new)
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
             self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
-        place = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        starts, n = np.cumsum(self.sizes) - self.sizes, self.sizes[place]
-        ids = self.flat[np.repeat(starts[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+            self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def put(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words that were learnt, and how many each list has."""
+        of = np.fromiter(map(len, lists), np.int64, len(lists))
+        place = np.fromiter((self.places[w] for ws in lists for w in ws), np.int64, of.sum())
+        n = self.sizes[place]
         upto = np.concatenate([[0], np.cumsum(n)])
-        return ids, np.diff(upto[np.concatenate([[0], ends])])
+        ids = self.flat[np.repeat(self.starts[place] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(of)])])
+
+    def __call__(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        self.learn(lists)
+        return self.put(lists)
 
 
 class Decoder:
@@ -292,6 +301,7 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col:
 
     ``check_col`` names a column that tells whether decoding the ids gave the text back.
     """
+    bound(docs.sparkSession)
     kept = docs.drop(ids_col, check_col or ids_col)
     short = kept.filter(F.coalesce(F.char_length(text_col), F.lit(0)) <= giant)
     long = kept.filter(F.char_length(text_col) > giant)
@@ -301,15 +311,20 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(held.value), Decoder(held.value.table)
         for whole in batches:
-            for part in slices(whole, where, SLICE):
-                texts = part.column(where).to_pylist()
-                ids, counts = encoder([split_words(t) if t else [] for t in texts])
-                null = np.array([t is None for t in texts], bool)
-                made = part.append_column(ids_col, _list_array(ids, counts, null))
-                if check_col:
-                    same = [a == (b or "") for a, b in zip(decoder(ids, counts), texts)]
-                    made = made.append_column(check_col, pa.array(same, pa.bool_()))
-                yield made
+            for held_part in slices(whole, where, SLICE):
+                lists = [split_words(t) if t else [] for t in held_part.column(where).to_pylist()]
+                encoder.learn(lists)
+                at = 0
+                for part in slices(held_part, where, PART):
+                    texts = part.column(where).to_pylist()
+                    ids, counts = encoder.put(lists[at : at + len(part)])
+                    at += len(part)
+                    null = np.array([t is None for t in texts], bool)
+                    made = part.append_column(ids_col, _list_array(ids, counts, null))
+                    if check_col:
+                        same = [a == (b or "") for a, b in zip(decoder(ids, counts), texts)]
+                        made = made.append_column(check_col, pa.array(same, pa.bool_()))
+                    yield made
 
     schema = StructType([*kept.schema.fields]).add(ids_col, ArrayType(IntegerType()))
     done = short.mapInArrow(run, schema.add(check_col, BooleanType()) if check_col else schema)

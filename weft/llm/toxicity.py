@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from weft.llm.batches import slices
+from weft.llm.batches import bound, slices
 from weft.llm.quality import MAX_ROWS, sample_labels
 
 # Insults to start from, verbs that report speech, and pronouns that address someone.
@@ -208,6 +208,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Lexicon:
     """A lexicon from the documents that ``labels`` names; what reaches the driver is bounded by MOST_TERMS."""
+    bound(docs.sparkSession)
     picked = sample_labels(labels, label_col, id_col, max_rows)
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "label").persist()
     texts = lambda label: rows.filter(F.col("label") == label).select(text_col)
@@ -260,6 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text; all columns are kept."""
+    bound(docs.sparkSession)
     kept = docs.drop(name)
     where = kept.columns.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
