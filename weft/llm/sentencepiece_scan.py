@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -245,7 +246,7 @@ class Encoder:
     def put(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of words that were learnt, and how many each list has."""
         of = np.fromiter(map(len, lists), np.int64, len(lists))
-        place = np.fromiter((self.places[w] for ws in lists for w in ws), np.int64, of.sum())
+        place = np.fromiter(map(self.places.__getitem__, chain.from_iterable(lists)), np.int64, of.sum())
         n = self.sizes[place]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.starts[place] - upto[:-1], n) + np.arange(upto[-1])]
