@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from fractions import Fraction
 from math import sqrt
 
 import numpy as np
@@ -87,6 +88,21 @@ def test_schedule_stays_within_a_block(weights):
     assert [given_[i] for i in range(len(slots))] == slots
 
 
+@pytest.mark.parametrize("weights", [[0.8, 0.2], [0.9, 0.1], [0.99, 0.01], [sqrt(93_091)] + [sqrt(8_600)] * 19, [1e-9, 0.3, 1.0, 2**0.5]])
+def test_plan_follows_the_real_weights(weights):
+    """|given - w * t| < 1 against the weights as given, at every slot of a long first epoch."""
+    total = sum(map(Fraction, weights))
+    exact = [Fraction(w) / total for w in weights]
+    planned = mixing.plan([max(1, int(w * 6_000)) + 1 for w in exact], weights)
+    order = sorted((t, i) for i, at in enumerate(planned) for t in at)
+    assert [t for t, _ in order] == list(range(len(order)))
+    end, n = min(at[-1] for at in planned), Counter()
+    for t, i in order[: end + 1]:
+        n[i] += 1
+        assert all(abs(n[j] - w * (t + 1)) < 1 for j, w in enumerate(exact))
+    assert end > 2_000 or weights[0] < 1e-6
+
+
 def simulated(sizes, weights, block):
     """The mixture slot by slot: sources in order of their slots, each epoch planned anew."""
     left = [-(-n // block) for n in sizes]

@@ -1,17 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents form blocks of ``block`` documents. With weight w, the
-source's i-th block (from 0) of an epoch is released at slot floor(i / w) and due
-by slot ceil((i + 1) / w); earliest deadline first over the released blocks then
-gives every source, at every slot t, less than one block more or less than w * t.
-
-Weights are whole multiples of 1 / period, so a schedule repeats after ``period``
-slots and the driver plans one period only, whatever the number of documents; a
-block's slot follows from its number in closed form. When a source has given all
-its blocks, the rest go on among themselves with weights in the same
-proportions: a new epoch, with its own period. So there are as many epochs as
-sources at most, nothing is dropped and nothing is repeated, and the bound holds
-within each epoch. A source's last block may be short.
+Each source's documents form blocks of ``block`` documents. With weight w, block k
+(from 0) of a source is released when w * t reaches k + 1 / (2n - 2), for n sources,
+and due when it reaches k + 1 - 1 / (2n - 2); earliest deadline first over the
+released blocks then keeps every source, after every slot t, within
+1 - 1 / (2n - 2) blocks of w * t (Tijdeman's chairman assignment).
+
+Weights are rounded to whole multiples of 1 / period. A period is at least 2n times
+as long as the blocks that are left, so rounding adds less than 1 / (2n) over an
+epoch, and each source stays less than one block from the share of its real weight.
+When a source has given all its blocks, the rest go on among themselves with
+weights in the same proportions: a new epoch, with its own period. So there are as
+many epochs as sources at most, nothing is dropped and nothing is repeated, and the
+bound holds within each epoch. A source's last block may be short. The driver plans
+slot by slot and holds 8 bytes a block, some half a byte a document.
 
 A document's place in its source follows from the hash of its id: sources are
 dealt into buckets of some ``BUCKET`` rows, counted, and numbered within
@@ -27,76 +29,75 @@ be negative; a source of weight zero comes after all others.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm import checkpoints
 
 BLOCK, BUCKET = 16, 20_000
-#: Slots of a period for every source in it.
-FINENESS = 16
-#: The plan has a row a source and epoch, is made on the driver and broadcast, so the sources must be this few.
+#: Slots of a period for every source in it, at least.
+FINENESS = 512
+#: The plan is made on the driver, and each epoch begins anew with every source, so the sources must be this few.
 MOST_SOURCES = 1_000
+#: Blocks in a row of the plan, and blocks whose plan is broadcast at most (8 bytes each).
+PIECE, BROADCAST_BLOCKS = 4_096, 4_000_000
 
 
 def shares(weights: list[float], period: int) -> list[int]:
-    """Slots of each source in a period: at least one, in all ``period``, nearest to the weights (largest remainders)."""
-    total = sum(weights)
-    exact = [w / total * (period - len(weights)) for w in weights]
-    out = [1 + int(x) for x in exact]
-    rest = sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))
+    """Slots of each source in a period, in all ``period``: less than one from the exact shares (largest remainders)."""
+    total = sum(map(Fraction, weights))
+    exact = [Fraction(w) * period / total for w in weights]
+    out = [int(x) for x in exact]
+    rest = sorted(range(len(weights)), key=lambda i: (out[i] - exact[i], i))
     for i in rest[: period - sum(out)]:
         out[i] += 1
     return out
 
 
-def schedule(slots: list[int]) -> list[tuple[int, int]]:
+def schedule(slots: list[int]) -> Iterator[tuple[int, int]]:
     """For each slot of a period the source and the number of its block; source i has ``slots[i]`` of the sum(slots)."""
-    period = sum(slots)
-    waiting = [(0, i, 0) for i in range(len(slots))]  # release, source, block
+    period, m = sum(slots), max(2, 2 * len(slots) - 2)
+    release = lambda i, k: -(-period * (k * m + 1) // (slots[i] * m)) - 1
+    waiting = [(release(i, 0), i, 0) for i, n in enumerate(slots) if n]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    out = []
     for t in range(period):
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // slots[i]), i, k))
+            heapq.heappush(ready, (period * (k * m + m - 1) // (slots[i] * m), i, k))
         _, i, k = heapq.heappop(ready)
-        out.append((i, k))
+        yield i, k
         if k + 1 < slots[i]:
-            heapq.heappush(waiting, ((k + 1) * period // slots[i], i, k + 1))
-    return out
+            heapq.heappush(waiting, (release(i, k + 1), i, k + 1))
 
 
-def plan(blocks: list[int], weights: list[float]) -> list[dict]:
-    """Epochs: the slots before it, its period, and for each source in it the first block, the last and the slots of a period.
+def plan(blocks: list[int], weights: list[float]) -> list[array]:
+    """The slots of each source's blocks, in the order of the blocks.
 
     An epoch ends with the slot in which a source gives its last block.
     """
-    left, epochs, before = list(blocks), [], 0
     if any(w < 0 for w in weights):
         raise ValueError("weights must not be negative")
+    left, slot, out = list(blocks), 0, [array("q") for _ in blocks]
     while any(left):
         live = [i for i, n in enumerate(left) if n and weights[i] > 0] or [i for i, n in enumerate(left) if n]
         period = FINENESS * len(live)
-        slots = shares([weights[i] or 1.0 for i in live], period)
-        order = schedule(slots)
-        at: dict[int, list[int]] = {}
-        for t, (i, _) in enumerate(order):
-            at.setdefault(i, []).append(t)
-        # the slot in which each source would give its last block
-        ends = [((left[live[i]] - 1) // slots[i]) * period + at[i][(left[live[i]] - 1) % slots[i]] for i in range(len(live))]
-        length = min(ends) + 1
-        whole, part = divmod(length, period)
-        given = [whole * slots[i] + sum(t < part for t in at[i]) for i in range(len(live))]
-        epochs.append({"before": before, "period": period, "length": length, "sources": [(live[i], blocks[live[i]] - left[live[i]], given[i], at[i]) for i in range(len(live))]})
-        for i, n in enumerate(given):
-            left[live[i]] -= n
-        before += length
-    return epochs
+        while period < 2 * len(live) * sum(left[i] for i in live):
+            period *= 2
+        for j, _ in schedule(shares([weights[i] or 1.0 for i in live], period)):
+            i = live[j]
+            out[i].append(slot)
+            slot, left[i] = slot + 1, left[i] - 1
+            if not left[i]:
+                break
+    return out
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK) -> DataFrame:
@@ -120,7 +121,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     named = {(k is None, k or ""): v for k, v in (weights or {}).items()}
     mean = sum(named.values()) / len(named) if named else 0.0
     target = [named.get(s, mean) if named else sqrt(sizes[s]) for s in sources]
-    epochs = plan([-(-sizes[s] // block) for s in sources], target)
+    planned = plan([-(-sizes[s] // block) for s in sources], target)
 
     # where each bucket's rows begin in their source
     order = Window.partitionBy("_source").orderBy("_bucket")
@@ -129,18 +130,24 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     numbered = rows.withColumn("_k", F.row_number().over(within) - 1).join(starts, ["_source", "_bucket"])
     numbered = numbered.withColumn("_k", F.col("_start") + F.col("_k")).withColumn("block", (F.col("_k") / block).cast("long"))
 
-    table = [
-        (dict(none=sources[i][0], name=sources[i][1]), first, first + given, e["before"], e["period"], at)
-        for e in epochs for i, first, given, at in e["sources"] if given
-    ]
-    kind = "_source struct<none: boolean, name: string>, _from long, _to long, _before long, _period long, _at array<int>"
-    planned = spark.createDataFrame(table, kind)
-    # a source has a row an epoch, so this join gives one row a document
-    met = numbered.join(F.broadcast(planned), (numbered["_source"] == planned["_source"]) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
-    i, per = F.col("block") - F.col("_from"), F.size("_at")
-    slot = F.col("_before") + F.floor(i / per) * F.col("_period") + F.get("_at", (i % per).cast("int"))
+    pieces = [(i, k, np.frombuffer(at, np.int64)[k * PIECE : (k + 1) * PIECE]) for i, at in enumerate(planned) for k in range(-(-len(at) // PIECE))]
+    table = pa.table(
+        {
+            "_none": pa.array([sources[i][0] for i, _, _ in pieces], pa.bool_()),
+            "_name": pa.array([sources[i][1] for i, _, _ in pieces], pa.string()),
+            "_piece": pa.array([k for _, k, _ in pieces], pa.int64()),
+            "_at": pa.array([at for _, _, at in pieces], pa.list_(pa.int64())),
+        }
+    )
+    kind = "_none boolean, _name string, _piece long, _at array<long>"
+    held = (spark.createDataFrame(table) if pieces else spark.createDataFrame([], kind)).select(F.struct(F.col("_none").alias("none"), F.col("_name").alias("name")).alias("_source"), "_piece", "_at")
+    few = sum(map(len, planned)) <= BROADCAST_BLOCKS
+    # a source has one row a piece, so this join gives one row a document
+    numbered = numbered.withColumn("_piece", F.floor(F.col("block") / PIECE))
+    met = numbered.join(F.broadcast(held) if few else held, ["_source", "_piece"])
+    slot = F.get("_at", (F.col("block") % PIECE).cast("int"))
     return met.withColumn("slot", slot).select(
-        *[numbered[c] for c in docs.columns if c not in ("block", "slot", "position")],
+        *[c for c in docs.columns if c not in ("block", "slot", "position")],
         "block",
         "slot",
         (F.col("slot") * block + F.col("_k") % block).alias("position"),
