@@ -121,6 +121,24 @@ def test_toxicity_learns_terms_but_not_copied_texts(spark):
     assert all((got[i] >= 0.5) == bool(t) for i, t in labels)
 
 
+def test_clean_copies_and_quotations_do_not_take_terms_out(spark):
+    toxic = [(i, f"a{i} zornak b{i} idiot c{i}") for i in range(20)]
+    quoting = [(i, f"one{i} said the words \"zornak\" and \"idiot\" to us") for i in range(100, 103)]
+    copied = [(i, "he wrote of zornak and of idiot in a list") for i in range(1000, 4000)]
+    rude = [(i, f"x{i} idiot y{i}") for i in range(5000, 5020)]  # a seed that clean texts use as much
+    rows = toxic + quoting + copied
+    for extra, rates in (([], (0.9, 0.9)), (rude, (0.9, 0.4))):
+        labels = [(i, int(i < 100)) for i, _ in rows + extra]
+        lexicon = toxicity.learn(spark.createDataFrame(rows + extra, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic")
+        known = dict(zip(lexicon.terms, lexicon.rates))
+        assert set(toxicity.SEEDS) < known.keys()
+        assert known["zornak"] >= rates[0] and known["idiot"] >= rates[1]
+    assert known["idiot"] < 0.5
+    text = "Say \"one two\" he said three\nfour “five” six".lower()
+    tokens = toxicity._MARKED.findall(text)
+    assert toxicity._weights(text) == [toxicity.context_factor(tokens, i, {}) for i, t in enumerate(tokens) if t not in toxicity.QUOTES and t != "\n"]
+
+
 @pytest.fixture(scope="module")
 def table():
     return pieces.load()

@@ -2,8 +2,10 @@
 
 The lexicon is learned from labelled rows (a bounded sample, a parameter) over a
 short list of seeds: words whose distinct contexts (the words before and after)
-lie almost all in toxic texts. Counting contexts, not texts, keeps the words of
-an often copied toxic text out. A word of a text is walked through the
+lie almost all in toxic texts. Counting contexts, not texts, on both sides keeps
+the words of an often copied toxic text out, and those of toxic texts in that a
+clean text often copied holds; a context that clean texts only quote or report
+counts by the factor below. Seeds stay in whatever their rate. A word of a text is walked through the
 intersection of the trie with the Levenshtein automata of its terms, made
 deterministic on demand, so nearly every word leaves after a few letters.
 
@@ -165,13 +167,18 @@ class Matcher:
         return found
 
 
+def distance_factor(quoted: bool, reported: bool) -> float:
+    """What a word counts that its writer quotes or reports."""
+    return 0.2 if quoted and reported else 0.5 if quoted else 0.8 if reported else 1.0
+
+
 def context_factor(tokens: list[str], at: int, hits: dict) -> float:
     """What a hit at ``tokens[at]`` counts, given the WINDOW words around it."""
     lo, hi = max(0, at - WINDOW), at + WINDOW + 1
     around = tokens[lo:at] + tokens[at + 1 : hi]
     quoted = sum(t in QUOTES for t in tokens[lo:at]) % 2 == 1 and any(t in QUOTES for t in tokens[at + 1 : hi])
     reported = any(t in REPORTING for t in tokens[lo:at])
-    factor = 0.2 if quoted and reported else 0.5 if quoted else 0.8 if reported else 1.0
+    factor = distance_factor(quoted, reported)
     if any(t in ADDRESS for t in around):
         factor *= 1.15
     if any(t in hits for t in around):
@@ -206,6 +213,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.string()), pa.array(pairs[1], pa.int64())], ["word", "context"])
 
 
+def _weights(text: str) -> list[float]:
+    """The distance_factor of each word of a text (in lower case), in order."""
+    tokens, before, quotes = _MARKED.findall(text), [0], [0]
+    for t in tokens:
+        before.append(before[-1] + (t in REPORTING))
+        quotes.append(quotes[-1] + (t in QUOTES))
+    out, n = [], len(tokens)
+    for i, t in enumerate(tokens):
+        if t not in QUOTES and t != "\n":
+            lo, hi = max(0, i - WINDOW), min(n, i + WINDOW + 1)
+            quoted = (quotes[i] - quotes[lo]) % 2 == 1 and quotes[hi] > quotes[i + 1]
+            out.append(distance_factor(quoted, before[i] > before[lo]))
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Lexicon:
     """A lexicon from the documents that ``labels`` names; what reaches the driver is bounded by MOST_TERMS."""
     bound(docs.sparkSession)
@@ -217,19 +239,28 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     bounded = toxic.orderBy(F.col("bad").desc(), "word").limit(10 * MOST_TERMS).collect()
     bad = {r.word: r.bad for r in bounded}
 
-    def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good: Counter = Counter()
+    def clean_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
+                seen: dict[tuple[str, int], float] = {}
                 for text in part.column(0).to_pylist():
-                    good.update(w for w in _WORD.findall(text.lower() if text else "") if w in bad)
-        pairs = list(zip(*good.items())) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.string()), pa.array(pairs[1], pa.int64())], ["word", "good"])
-
-    good = dict(texts(0).mapInArrow(clean_counts, "word string, good long").groupBy("word").agg(F.sum("good")).collect()) if bad else {}
+                    text = text.lower() if text else ""
+                    ws = _WORD.findall(text)
+                    told = _weights(text) if any(w in REPORTING for w in ws) or any(q in text for q in QUOTES) else [1.0] * len(ws)
+                    for before, w, after, weight in zip(["", *ws[:-1]], ws, [*ws[1:], ""], told):
+                        if w in bad:
+                            key = (w, crc32(f"{before} {after}".encode("utf-8", "surrogatepass")))
+                            seen[key] = max(weight, seen.get(key, 0.0))
+                pairs = list(zip(*seen)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.string()), pa.array(pairs[1], pa.int64()), pa.array(list(seen.values()), pa.float64())], ["word", "context", "weight"])
+
+    good: dict[str, float] = {}
+    if bad:
+        clean = texts(0).mapInArrow(clean_contexts, "word string, context long, weight double")
+        good = dict(clean.groupBy("word", "context").agg(F.max("weight").alias("weight")).groupBy("word").agg(F.sum("weight")).collect())
     rate = {w: n / (n + good.get(w, 0) + 0.2) for w, n in bad.items()}
     learned = sorted((w for w in bad if rate[w] >= LEAST_RATE), key=lambda w: (-bad[w], w))[:MOST_TERMS]
-    known = {w: rate[w] for w in learned} | {w: SEED_RATE for w in SEEDS if w not in bad}
+    known = {w: rate[w] for w in learned} | {w: rate.get(w, SEED_RATE) for w in SEEDS}
     terms = tuple(sorted(known))
     first = Lexicon(terms, tuple(known[t] for t in terms), frozenset())
 
