@@ -32,8 +32,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity scores reject."""
-    scored = queries.toxicity_scores(docs.select(*COLUMNS), _table(spark, sf_dir, "labels"))
+    """Without the documents that the toxicity scores reject; labelled texts teach whether or not they came so far."""
+    labelled = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = queries.toxicity_scores(docs.select(*COLUMNS), _table(spark, sf_dir, "labels"), labelled)
     return scored.filter(F.col("score") < TOXIC).select(*COLUMNS)
 
 

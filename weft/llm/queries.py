@@ -145,9 +145,9 @@ QUERIES["op3_quality_ftrl"] = op3_quality_ftrl
 # --- 4: toxicity
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with score; labels come only from rows that are not held out."""
-    lexicon = toxicity.learn(docs, labels.filter(~quality.held_out(F.col("doc_id"), 5, 0)), "toxic")
+def toxicity_scores(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """``docs`` with score; labels come only from rows that are not held out, their texts from ``labelled`` (or ``docs``)."""
+    lexicon = toxicity.learn(docs if labelled is None else labelled, labels.filter(~quality.held_out(F.col("doc_id"), 5, 0)), "toxic")
     return toxicity.score(docs, lexicon)
 
 

@@ -45,6 +45,8 @@ QUOTES = frozenset("\"“”«»„‟")
 SEED_RATE = 0.9
 #: A learned term has so many distinct contexts in toxic texts at least, and so large a share of its contexts there.
 LEAST_CONTEXTS, LEAST_RATE = 8, 0.9
+#: With few labels, a tenth of the toxic texts is enough contexts, but never fewer than this.
+FEWEST_CONTEXTS = 3
 #: Terms that are kept at most, those with the most contexts first.
 MOST_TERMS = 20_000
 #: Words on either side of a hit that are its context.
@@ -235,7 +237,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "label").persist()
     texts = lambda label: rows.filter(F.col("label") == label).select(text_col)
     toxic = texts(1).mapInArrow(_contexts, "word string, context long").distinct().groupBy("word").count()
-    toxic = toxic.filter(F.col("count") >= LEAST_CONTEXTS).withColumnRenamed("count", "bad")
+    least = min(LEAST_CONTEXTS, max(FEWEST_CONTEXTS, texts(1).count() // 10))
+    toxic = toxic.filter(F.col("count") >= least).withColumnRenamed("count", "bad")
     bounded = toxic.orderBy(F.col("bad").desc(), "word").limit(10 * MOST_TERMS).collect()
     bad = {r.word: r.bad for r in bounded}
 
