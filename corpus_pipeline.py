@@ -19,6 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: A document goes if its score is under this (quality) or at least this (toxicity).
 QUALITY, TOXIC = 0.7, 0.5
+#: Near duplicates share so many percent of their shingles.
+SIMILAR = 80
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +41,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; rows without an id all stay."""
+    """One document, that of the smallest id, of each group of near duplicates; rows without an id all stay.
+
+    Linked are shingle sets (five words) of a similarity of 0.8 or more.
+    """
     docs = docs.select(*COLUMNS)
-    found = dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    found = dedup.near_duplicates(docs, percent=SIMILAR).filter("kept").select("doc_id").distinct()
     named = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()))
 

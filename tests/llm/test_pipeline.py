@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
+from weft.llm import dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,3 +34,17 @@ def test_few_labels_need_fewer_contexts(spark, tmp_path):
 
     labels = spark.createDataFrame([(i, int(i < 5)) for i in range(60)], "doc_id long, toxic int")
     assert "zornak" in toxicity.learn(docs, labels, "toxic").terms
+
+
+def test_near_copies_from_four_fifths_on_go(spark, tmp_path):
+    rng, rows, kept = random.Random(2), [], set()
+    for i in range(0, 40, 2):
+        base = [f"w{i}x{rng.randint(0, 9000)}y{k}" for k in range(104)]
+        cut = (9, 10, 11, 12, 13)[i // 2 % 5]  # words left out at the end: shared shingles of 100
+        rows += [(i, " ".join(base), "a"), (i + 1, " ".join(base[:-cut] + [f"z{i}{k}" for k in range(cut)]), "a")]
+        kept |= {i} if (100 - cut) * 100 >= 80 * (100 + cut) else {i, i + 1}
+    docs = tables(spark, tmp_path, rows)
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert left == kept and 20 < len(kept) < 40  # 9, 10 and 11 of 100 give 0.83, 0.82 and 0.80
+    with pytest.raises(ValueError):
+        dedup.near_duplicates(docs, percent=79)

@@ -45,6 +45,9 @@ from weft.llm.batches import bound, slices
 
 PERMUTATIONS, BANDS, ROWS, ROUNDS = 64, 25, 5, 2
 
+#: The lowest similarity that the bands cover: they miss a pair at 80 % with probability 5e-5, at 50 % with 0.45.
+LEAST_PERCENT = 80
+
 #: 64-bit words of a parity map.
 WORDS = 16
 
@@ -291,8 +294,10 @@ def near_duplicates(
 ) -> DataFrame:
     """id_col, n_shingles, component_id and kept for each row of ``docs``.
 
-    Linked: 100 * intersection >= percent * union of the shingle sets.
+    Linked: 100 * intersection >= percent * union of the shingle sets; ``percent`` is LEAST_PERCENT at least.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"the bands cover similarities of {LEAST_PERCENT} to 100 percent")
     spark = docs.sparkSession
     checkpoints.ensure(spark)
     bound(spark)
