@@ -2,7 +2,9 @@
 
 Each stage is a function of (spark, docs, sf_dir). All but the last return the
 columns of ``documents``; a stage's decisions are the rows that it keeps and, for
-the mixture, their order. ``run`` writes each stage as Parquet and reads it back
+the mixture, their order. Files keep no order among themselves, so the last stage
+also gives each row's position in the mixture, made again from its id: sorting by
+it gives the mixture. ``run`` writes each stage as Parquet and reads it back
 for the next, in the folder that the cluster shares.
 """
 
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 from weft.llm import checkpoints, dedup, mixing, queries
 
+#: Target weights of the sources; one without a weight here gets their mean.
+WEIGHTS: dict[str | None, float] = {"src0": 4.0} | {f"src{i}": 1.0 for i in range(1, 20)}
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: A document goes if its score is under this (quality) or at least this (toxicity).
@@ -53,12 +58,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
-    return mixing.in_order(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
+    return mixing.in_order(mixing.mix(docs.select(*COLUMNS), WEIGHTS)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id with the ids of its pieces."""
-    return queries.encoded(docs)
+    """doc_id with the ids of its pieces, and its position in the mixture."""
+    mixed = mixing.mix(docs.select("doc_id", "text", "source"), WEIGHTS)
+    return queries.encoded(mixed, "position")
 
 
 STAGES = [

@@ -1,9 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
+import sentencepiece
 
 import corpus_pipeline
-from weft.llm import dedup
+from weft.llm import dedup, mixing, pieces, queries
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,3 +50,25 @@ def test_near_copies_from_four_fifths_on_go(spark, tmp_path):
     assert left == kept and 20 < len(kept) < 40  # 9, 10 and 11 of 100 give 0.83, 0.82 and 0.80
     with pytest.raises(ValueError):
         dedup.near_duplicates(docs, percent=79)
+
+
+def test_run_keeps_the_mixture(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows = [(i, text(12_000 if i % 40 == 0 else 30), "src0" if i % 2 else f"src{i % 3 + 1}") for i in range(240)]
+    tables(spark, tmp_path, rows, [(i, 1, 0) for i in range(240)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scored = {r.doc_id for r in queries.quality_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).filter("score >= 0.7").collect()}
+    assert {r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).collect()} == scored
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == scored and len(got) == len(scored) > 200
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert all(r.round_trip and r.ids == library.encode(rows[r.doc_id][1]) for r in got)
+    assert max(r.n_chars for r in got) > 65_536
+    # the sources' blocks, slot by slot, as the plan has them
+    names = sorted({s for _, _, s in rows})
+    sizes = Counter(rows[r.doc_id][2] for r in got)
+    planned = mixing.plan([-(-sizes[s] // mixing.BLOCK) for s in names], [corpus_pipeline.WEIGHTS[s] for s in names])
+    want = {slot: s for s, at in zip(names, planned) for slot in at}
+    assert len({r.position for r in got}) == len(got)
+    assert all(want[r.position // mixing.BLOCK] == rows[r.doc_id][2] for r in got)

@@ -178,15 +178,16 @@ QUERIES["op9_language_pieces"] = op9_language_pieces
 # --- 10: SentencePiece
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, n_pieces, ids, and whether decoding them gives the text back."""
-    made = sentencepiece_scan.encode(docs.select("doc_id", "text"), pieces.load(), check_col="round_trip")
+def encoded(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_chars, n_pieces, ids, and whether decoding them gives the text back; then ``more`` columns of ``docs``."""
+    made = sentencepiece_scan.encode(docs.select("doc_id", "text", *more), pieces.load(), check_col="round_trip")
     return made.select(
         "doc_id",
         F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"),
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
         "ids",
         "round_trip",
+        *more,
     )
 
 
