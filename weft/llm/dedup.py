@@ -7,28 +7,35 @@ shingle and keeps both its minimum and its maximum, so 64 evaluations give 128
 signature values. Values agree with probability equal to the Jaccard similarity;
 25 bands of 5 values miss a pair at similarity 0.85 with probability 4e-7.
 
-The jobs, in order:
-
-1. a pass over the texts: shingle hashes, a 128-bit fingerprint of the set and
-   the band keys; equal sets fall together by fingerprint, one of them (smallest
-   id) stands for all;
-2. band keys are grouped (partial aggregates first, so hot bands are summed
-   before the shuffle); in each band one member, drawn by hash, is the hub and
-   gives one candidate pair a member, which connects most of a large group of
-   copies without expanding it into its pairs; a second round draws new hubs;
+The jobs, in order; each writes a table to the shared folder, which goes when no
+later job needs it:
+
+1. a pass over the texts: a fingerprint of the set (its node, 64 bits) and the
+   band keys; rows with equal sets are one class;
+2. band keys are counted (partial aggregates first, so hot bands are summed
+   before the shuffle), those of one class go; in each band one member, drawn by
+   hash, is the hub and gives one candidate pair a member, which connects most of
+   a large group of copies without expanding it into its pairs; a second round
+   draws new hubs where a band still holds several components;
 3. then the rest, whole: members that are still outside their band's largest
-   component meet all members with another label, each such pair in the first
-   band that it shares only, and only if a bound on the similarity allows a
-   link: bit ``h mod 1024`` of a set's parity map is flipped by each shingle, so
-   the bits in which two maps differ are at most as many as the shingles in
-   which the sets differ. Pairs within a component are never made;
+   component meet all members with another label, and a pair is made only if a
+   bound on the similarity allows a link: bit ``h mod 1024`` of a set's parity map
+   is flipped by each shingle, so the bits in which two maps differ are at most as
+   many as the shingles in which the sets differ. Maps are made for these members
+   only. Pairs within a component are never made. The members of a hot band are
+   dealt into parts;
 4. candidate pairs are confirmed on the full shingle sets, in integers;
-5. connected components over confirmed pairs by min-label propagation with
-   pointer jumping, lineage cut by ``checkpoint()``.
+5. connected components over confirmed pairs: nodes move to their smallest
+   neighbours and edges follow, until none is left.
+
+Sides of joins are broadcast behind a check of their size, else shuffled.
 
 Null and empty texts, and texts of white space only, have no shingles and link
-with nothing. Repeated rows are linked through their common fingerprint. A null
-id cannot name a component: such rows form none and are kept.
+with nothing. Repeated rows are linked through their common fingerprint; rows
+with one id and different texts are rows each on their own, with that id. A null
+id cannot name a component: such rows form none and are kept. An empty table
+gives an empty result. Only the id and the text are read, so other columns'
+names cannot clash. Long texts are bounded by Arrow batches of one row each.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import checkpoints
@@ -161,7 +168,7 @@ def parity_maps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sketch(width: int, with_bands: bool):
-    """Arrow batches of (id, text) -> id, n_shingles, fingerprint, then band keys and parity map or the shingle set."""
+    """Arrow batches of (id, text) -> id, n_shingles, node, then band keys or the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -171,39 +178,33 @@ def _sketch(width: int, with_bands: bool):
                 h, counts = shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), ends, width)
                 some = counts > 0
                 at = np.cumsum(counts[some]) - counts[some]
-                low, high = np.zeros(len(raw), np.uint64), np.zeros(len(raw), np.uint64)
+                node = np.zeros(len(raw), np.uint64)
                 if some.any():
-                    low[some], high[some] = np.add.reduceat(mix(h + _P), at), np.add.reduceat(mix(h ^ np.uint64(_M64)), at)
-                cols = [part.column(0), pa.array(counts), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))]
+                    node[some] = mix(np.add.reduceat(mix(h + _P), at) + counts[some].astype(np.uint64))
+                cols = [part.column(0), pa.array(counts), pa.array(node.view(np.int64))]
                 if with_bands:
                     keys = band_keys(signatures(h, counts))
                     offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))))
-                    every = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * np.int32(WORDS))
-                    cols.append(pa.ListArray.from_arrays(every, pa.array(parity_maps(h, counts).reshape(-1))))
                 else:
                     offsets = np.concatenate([[0], np.cumsum(counts * 8)]).astype(np.int64)
                     held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(h.tobytes())])
                     cols.append(held.cast(pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "f1", "f2", *(("bands", "map") if with_bands else ("shingles",))])
+                yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "node", "bands" if with_bands else "shingles"])
 
     return run
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """id, n_shingles, f1 and f2 (fingerprint of the set), bands (array of BANDS keys; empty for empty sets), map (parity map)."""
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(
-        _sketch(width, True), f"id {kind}, n_shingles long, f1 long, f2 long, bands array<long>, map array<long>"
-    )
+    """id, n_shingles, node (fingerprint of the set) and bands (array of BANDS keys; empty for empty sets)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_sketch(width, True), f"id {rows.dtypes[0][1]}, n_shingles long, node long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """id, n_shingles, f1, f2 and shingles: the sorted distinct 64-bit hashes, as bytes."""
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(
-        _sketch(width, False), f"id {kind}, n_shingles long, f1 long, f2 long, shingles binary"
-    )
+    """id, n_shingles, node and shingles: the sorted distinct 64-bit hashes, as bytes."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_sketch(width, False), f"id {rows.dtypes[0][1]}, n_shingles long, node long, shingles binary")
 
 
 def _confirm(percent: int):
@@ -215,78 +216,146 @@ def _confirm(percent: int):
                 a, b = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
                 both = len(a) + len(b) - len(np.union1d(a, b))
                 fits.append(100 * both >= percent * (len(a) + len(b) - both))
-            kept = batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
-            yield kept
+            yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of ``edges`` (a, b) reaches.
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) -> node, parity map."""
+    for batch in batches:
+        raw = batch.column(1).to_pylist()
+        maps = parity_maps(np.frombuffer(b"".join(raw), np.uint64), np.array([len(r) // 8 for r in raw], np.int64))
+        every = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * np.int32(WORDS))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(every, pa.array(maps.reshape(-1)))], ["node", "map"])
+
+
+#: A side of a join is broadcast up to so many bytes; beyond, both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
+
 
-    Every round gives a node the smallest label among its neighbours and itself,
-    then jumps to the label of its label; chains shorten by half each round.
+def few(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """``df``, marked for broadcasting if its rows of some ``row_bytes`` are few."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def components(edges: DataFrame, tables: checkpoints.Tables) -> DataFrame:
+    """(node, label) for every node of ``edges`` (a, b; longs) but the one of its component that is the label.
+
+    In each round a node moves to its smallest neighbour, then to where that one
+    moved; edges follow their ends, and those within a node go. The image of a
+    connected graph is connected, so a component ends as one node.
     """
-    spark = edges.sparkSession
-    checkpoints.ensure(spark)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).checkpoint()
-    while True:
-        heard = both.join(labels.withColumnsRenamed({"node": "b", "label": "l"}), "b").groupBy("a").agg(F.min("l").alias("l"))
-        hooked = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        root = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = hooked.join(root, "label", "left").select("node", "old", F.coalesce(F.least("label", "up"), "label").alias("label")).checkpoint()
-        changed = jumped.filter("label <> old").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by their full sets."""
-    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-    with_both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    return with_both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), f"a {kind}, b {kind}").checkpoint()
-
-
-def _across(banded: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a band's members with different labels of which one is outside the band's largest component.
+    moved: DataFrame | None = None
+    edges = tables.put(edges.select("a", "b").filter("a <> b").distinct())
+    while edges.limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        least = tables.put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("b")).select(F.col("a").alias("node"), F.col("b").alias("up")))
+        up = few(least)
+        step = least.join(up.withColumnsRenamed({"node": "at", "up": "far"}), F.col("up") == F.col("at"))
+        step = tables.put(step.select("node", F.col("far").alias("up")))
+        tables.drop(least)
+        up = few(step)
+        met = edges.join(up.withColumnsRenamed({"node": "a", "up": "x"}), "a").join(up.withColumnsRenamed({"node": "b", "up": "y"}), "b")
+        left = tables.put(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct())
+        tables.drop(edges)
+        edges, before = left, moved
+        if before is None:
+            moved = step.select("node", F.col("up").alias("label"))
+        else:
+            follow = before.join(up.withColumnsRenamed({"node": "at"}), F.col("label") == F.col("at"), "left").select(before["node"], F.coalesce("up", "label").alias("label"))
+            moved = tables.put(follow)  # every node took part in the first round
+            tables.drop(before, step)
+    if moved is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    tables.drop(edges)
+    return moved.filter("node <> label")
+
+
+def merged(labels: DataFrame | None, links: DataFrame, tables: checkpoints.Tables) -> DataFrame:
+    """``labels`` (node, label; without the labels' own nodes) after the further edges ``links`` (a, b)."""
+    if labels is None:
+        return tables.put(components(links, tables))
+    known = few(labels)
+    ends = links.join(known.withColumnsRenamed({"node": "a", "label": "x"}), "a", "left").join(known.withColumnsRenamed({"node": "b", "label": "y"}), "b", "left")
+    joined = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), tables)
+    up = few(joined).withColumnsRenamed({"node": "at", "label": "up"})
+    follow = labels.join(up, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label"))
+    return tables.put(follow.union(joined))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tables: checkpoints.Tables) -> DataFrame:
+    """Of ``pairs`` (a, b, nb: the size of b's set) those that are links, by their full sets; few of the bs differ."""
+    size = pairs.select("b", "nb").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("nb").alias("shingles")).first()
+    hubs = sets.join(few(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    small = 8 * (size["shingles"] or 0) + 32 * size["n"] <= BROADCAST_BYTES
+    members = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    met = members.join(few(pairs.select("a", "b"), 24), "a").join(F.broadcast(hubs) if small else hubs, "b")
+    return tables.put(met.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"))
+
+
+def _members(banded: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """band, node, n and the node's label."""
+    if labels is None:
+        return banded.withColumn("label", F.col("node"))
+    known = few(labels).withColumnsRenamed({"label": "found"})
+    return banded.join(known, "node", "left").select("band", "node", "n", F.coalesce("found", "node").alias("label"))
+
+
+def _to_hubs(banded: DataFrame, labels: DataFrame | None, draw: Column, percent: int, tables: checkpoints.Tables) -> DataFrame:
+    """Pairs (a, b, nb) of each band's members with its hub, the least by ``draw``, where labels differ and sizes allow a link."""
+    members = _members(banded, labels)
+    drawn = F.struct(draw.alias("h"), F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
+    bands = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(drawn).alias("d"))
+    hubs = tables.put(bands.filter("lo < hi").select("band", "d.*"))
+    alike = (F.col("label") != F.col("hub_label")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    met = members.join(few(hubs.drop("h"), 40), "band").filter(alike)
+    pairs = tables.put(met.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("hub_n").alias("nb")).distinct())
+    tables.drop(hubs)
+    return pairs
+
+
+#: Members of a band that one task compares with the band's outsiders.
+BAND_PART = 4_096
+
+
+def _across(banded: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int, tables: checkpoints.Tables) -> DataFrame | None:
+    """All pairs (a, b, nb) of a band's members with different labels of which b is outside the band's largest component.
 
     What a band's largest component holds is connected already, so these are all
-    the pairs that can still connect anything.
+    the pairs that can still connect anything. A band's members are dealt into
+    parts of some BAND_PART, and its outsiders go to each of these.
     """
-    known = labels.withColumnsRenamed({"node": "rep", "label": "found"})
-    members = banded.join(known, "rep", "left").select("band", "rep", "n", F.coalesce("found", "rep").alias("label"))
+    members = _members(banded, labels)
     sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    members = members.join(mixed.select("band", "most"), "band").join(classes.select("rep", "bands", "map"), "rep")
-    members = members.withColumn("outside", F.col("label") != F.col("most")).drop("most").checkpoint()
-    x = members.filter("outside").select("band", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "label", "bands", "map")])
-    y = members.select("band", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "label", "bands", "map", "outside")])
+    bands = sizes.groupBy("band").agg(F.max(F.struct("k", "label"))["label"].alias("most"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("labels"))
+    mixed = tables.put(bands.filter("labels > 1").select("band", "most", F.ceil(F.col("size") / BAND_PART).cast("int").alias("parts")))
+    met = members.join(few(mixed, 24), "band").select("band", "node", "n", "label", "parts", (F.col("label") != F.col("most")).alias("outside"))
+    met = tables.put(met)
+    outside = met.filter("outside").count()
+    if not outside:
+        return None
+    maps = tables.put(sets.join(few(met.select("node").distinct()), "node", "left_semi").select("node", "shingles").mapInArrow(_maps, "node long, map array<long>"))
+    mapped = met.join(few(maps, 16 + 8 * WORDS), "node")
+    x = mapped.filter("outside").select("band", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", "map", "parts")])
+    y = mapped.select("band", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "label", "map", "outside")], F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     # of sizes summing to S, sets that differ in D shingles are linked if 100 * (S - D) >= percent * (S + D)
     apart = sum(F.bit_count(F.get("x_map", F.lit(i)).bitwiseXOR(F.get("y_map", F.lit(i)))) for i in range(WORDS))
-    on = (
-        (x["band"] == y["band"])
-        & (F.col("x_label") != F.col("y_label"))
-        & (~F.col("y_outside") | (F.col("x_rep") < F.col("y_rep")))
+    alike = (
+        (F.col("x_label") != F.col("y_label"))
+        & (~F.col("y_outside") | (F.col("x_node") < F.col("y_node")))
         & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
         & ((100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("y_n")))
-        & (F.get(F.array_intersect("x_bands", "y_bands"), F.lit(0)) == x["band"])
     )
-    # a pair may come from its other member's side too, where each is outside in another band
-    return x.join(y, on).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct().checkpoint()
-
-
-#: Ids that may be broadcast: 8 bytes each, so 16 MB before Spark's own overhead.
-BROADCAST_IDS = 2_000_000
-
-
-def _sets_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """rep and shingles of the named documents only."""
-    ids = reps.select(F.col("rep").alias(id_col)).checkpoint()
-    few = ids.count() <= BROADCAST_IDS
-    held = docs.select(id_col, text_col).join(F.broadcast(ids) if few else ids, id_col, "left_semi")
-    return shingle_sets(held, id_col, text_col, width).select(F.col("id").alias("rep"), "shingles").dropDuplicates(["rep"])
+    if outside * (48 + 8 * WORDS) <= BROADCAST_BYTES:
+        found = y.join(F.broadcast(x), (x["band"] == y["band"]) & alike)
+    else:
+        x = x.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1)))
+        found = y.join(x, (x["band"] == y["band"]) & (F.col("at") == F.col("part")) & alike)
+    # a pair is found in every band that it shares
+    pairs = tables.put(found.select(F.col("y_node").alias("a"), F.col("x_node").alias("b"), F.col("x_n").alias("nb")).distinct())
+    tables.drop(mixed, met, maps)
+    return pairs
 
 
 def near_duplicates(
@@ -295,51 +364,61 @@ def near_duplicates(
     """id_col, n_shingles, component_id and kept for each row of ``docs``.
 
     Linked: 100 * intersection >= percent * union of the shingle sets; ``percent`` is LEAST_PERCENT at least.
+    All work is done when this returns; the result is a table in the shared folder.
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"the bands cover similarities of {LEAST_PERCENT} to 100 percent")
     spark = docs.sparkSession
-    checkpoints.ensure(spark)
+    tables = checkpoints.Tables(spark)
     bound(spark)
-    kind = dict(docs.dtypes)[id_col]
-    sketched = sketch(docs, id_col, text_col, width).checkpoint()
+    sketched = tables.put(sketch(docs, id_col, text_col, width))
     named = sketched.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    classes = named.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("map").alias("map"))
-    spread = classes.select("rep", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("in_band")).filter("in_band > 1").select("band")
-    banded = spread.join(shared, "band", "left_semi").checkpoint()
-    sets = _sets_of(docs, banded.select("rep").distinct(), id_col, text_col, width).checkpoint()
-
-    tried, links, labels = None, None, None
-    for k in range(rounds):
-        members = banded.withColumn("label", F.col("rep"))
-        if labels is not None:
-            known = labels.withColumnsRenamed({"node": "rep", "label": "found"})
-            members = banded.join(known, "rep", "left").select("band", "rep", "n", F.coalesce("found", "rep").alias("label"))
-            open_bands = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-            members = members.join(open_bands, "band", "left_semi")
-        draw = F.struct(F.xxhash64(F.lit(k), "rep", "band").alias("h"), F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
-        hubs = members.groupBy("band").agg(F.min(draw).alias("d")).select("band", "d.*")
-        alike = (F.col("label") != F.col("hub_label")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = members.join(hubs, "band").filter(alike).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        if not pairs.limit(1).count():
-            break
-        confirmed = _confirmed(pairs, sets, kind, percent)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = confirmed if links is None else links.union(confirmed)
-        labels = components(links)
-    if labels is not None:
-        rest = _confirmed(_across(banded, classes, labels, percent).join(tried, ["a", "b"], "left_anti"), sets, kind, percent)
-        if rest.limit(1).count():
-            labels = components(links.union(rest))
+    copies = named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = tables.put(copies)
+    spread = classes.select("node", "n", F.explode("bands").alias("band"))
+    shared = tables.put(spread.groupBy("band").agg(F.count(F.lit(1)).alias("in_band")).filter("in_band > 1").select("band"))
+    banded = tables.put(spread.join(few(shared), "band", "left_semi").select("band", "node", "n"))
+    tables.drop(shared)
+    labels: DataFrame | None = None
+    if banded.limit(1).count():
+        sets = _sets_of(docs, classes, banded, id_col, text_col, width, tables)
+        # the first hubs are the same in all the bands that a group shares, so it gives few pairs; later ones differ by band
+        for k in range(rounds):
+            pairs = _to_hubs(banded, labels, F.xxhash64(F.lit(k), "node") if not k else F.xxhash64(F.lit(k), "node", "band"), percent, tables)
+            if not pairs.limit(1).count():
+                break
+            links = _confirmed(pairs, sets, percent, tables)
+            after = merged(labels, links, tables)
+            tables.drop(pairs, links, labels)
+            labels = after
+        rest = _across(banded, sets, labels, percent, tables)
+        if rest is not None:
+            labels = merged(labels, _confirmed(rest, sets, percent, tables), tables)
     if labels is None:
-        labels = spark.createDataFrame([], f"node {kind}, label {kind}")
-    reps = classes.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("found"))
-    out = sketched.select("id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.least("found", "id")).otherwise(F.col("id"))
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        labels = spark.createDataFrame([], "node long, label long")
+    linked = tables.put(labels.union(labels.select(F.col("label").alias("node"), "label").distinct()))
+    found = classes.select("node", "rep", "copies").join(few(linked), "node", "left")
+    groups = tables.put(found.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least")))
+    found = found.join(few(groups, 32), "label", "left")
+    # where a set has one row and no link, the row is its own component
+    named = tables.put(found.filter("copies > 1 or least is not null").select("node", F.coalesce("least", "rep").alias("found")))
+    rows = sketched.select("id", "n_shingles", "node").join(few(named, 32), "node", "left")
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("found", "id")).otherwise(F.col("id")))
+    out = rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
+    done = tables.put(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))
+    tables.drop_others(done)
+    return done
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, banded: DataFrame, id_col: str, text_col: str, width: int, tables: checkpoints.Tables) -> DataFrame:
+    """node and shingles of the sets that share a band with another, once each, from the texts of their smallest ids."""
+    reps = tables.put(classes.join(few(banded.select("node").distinct()), "node", "left_semi").select("rep"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(few(reps), F.col("id") == F.col("rep"), "left_semi")
+    sets = tables.put(shingle_sets(rows, "id", "text", width).filter("n_shingles > 0").select("node", "shingles"))
+    if sets.count() > reps.count():  # repeated ids
+        once = tables.put(sets.dropDuplicates(["node"]))
+        tables.drop(sets)
+        sets = once
+    tables.drop(reps)
+    return sets

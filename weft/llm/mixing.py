@@ -106,7 +106,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     Sorting by position gives the mixture.
     """
     spark = docs.sparkSession
-    checkpoints.ensure(spark)
+    checkpoints.folder(spark)
     # null sources sort and join as a struct, which is never null
     name = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
     n = docs.count()
