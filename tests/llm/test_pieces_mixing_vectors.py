@@ -1,7 +1,4 @@
 import random
-from collections import Counter
-from fractions import Fraction
-from math import sqrt
 
 import numpy as np
 import pytest
@@ -10,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weft.llm import mixing, neighbours, pieces
+from weft.llm import neighbours, pieces
 from weft.llm import sentencepiece_scan as scan
 
 
@@ -75,84 +72,6 @@ def test_giant_texts_over_the_cluster(spark, table, library):
     assert scan.encode(docs.limit(0), table).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.floats(0.001, 1), min_size=1, max_size=12))
-def test_schedule_stays_within_a_block(weights):
-    period = mixing.FINENESS * len(weights)
-    slots = mixing.shares(weights, period)
-    given_ = Counter()
-    for t, (i, k) in enumerate(mixing.schedule(slots), 1):
-        assert k == given_[i]
-        given_[i] += 1
-        assert all(abs(mixing.deviation(given_[j], s, period, t)) < 1 for j, s in enumerate(slots))
-    assert [given_[i] for i in range(len(slots))] == slots
-
-
-@pytest.mark.parametrize("weights", [[0.8, 0.2], [0.9, 0.1], [0.99, 0.01], [sqrt(93_091)] + [sqrt(8_600)] * 19, [1e-9, 0.3, 1.0, 2**0.5]])
-def test_plan_follows_the_real_weights(weights):
-    """|given - w * t| < 1 against the weights as given, at every slot of a long first epoch."""
-    total = sum(map(Fraction, weights))
-    exact = [Fraction(w) / total for w in weights]
-    planned = mixing.plan([max(1, int(w * 6_000)) + 1 for w in exact], weights)
-    order = sorted((t, i) for i, at in enumerate(planned) for t in at)
-    assert [t for t, _ in order] == list(range(len(order)))
-    end, n = min(at[-1] for at in planned), Counter()
-    for t, i in order[: end + 1]:
-        n[i] += 1
-        assert all(abs(n[j] - w * (t + 1)) < 1 for j, w in enumerate(exact))
-    assert end > 2_000 or weights[0] < 1e-6
-
-
-def simulated(sizes, weights, block):
-    """The mixture slot by slot: sources in order of their slots, each epoch planned anew."""
-    left = [-(-n // block) for n in sizes]
-    given_, order = [0] * len(sizes), []
-    while any(left):
-        live = [i for i, n in enumerate(left) if n]
-        slots = mixing.shares([weights[i] for i in live], mixing.FINENESS * len(live))
-        one, ended = mixing.schedule(slots), False
-        while not ended:
-            for j, _ in one:
-                i = live[j]
-                order.append((i, given_[i]))
-                given_[i] += 1
-                left[i] -= 1
-                if not left[i]:
-                    ended = True
-                    break
-    return order
-
-
-def test_mixture_keeps_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET", 50)
-    sizes = {"a": 400, "b": 90, None: 33, "": 1}
-    rows = [(i * 10 + k, s, "x") for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
-    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, source string, slot string").repartition(5)
-    got = mixing.mix(docs, block=4).toPandas()
-    assert Counter(zip(got["doc_id"], got["source"])) == Counter((i, s) for i, s, _ in [*rows, rows[0]])
-    assert got["position"].is_unique
-    names = [("", True), ("", False), ("a", False), ("b", False)]
-    order = sorted([(s is None, s or "") for s in sizes])
-    counts = [401, 90, 33, 1]
-    size = {(s is None, s or ""): n for s, n in zip(sizes, counts)}
-    want = simulated([size[s] for s in order], [sqrt(size[s]) for s in order], 4)
-    seen = got.drop_duplicates("slot").sort_values("slot")
-    assert [((s is None, s or ""), b) for s, b in zip(seen["source"], seen["block"])] == [(order[i], k) for i, k in want]
-    assert list(seen["slot"]) == list(range(len(want))) and names
-    in_order = mixing.in_order(mixing.mix(docs, block=4)).collect()
-    assert [r.position for r in in_order] == sorted(r.position for r in in_order)
-
-
-def test_weights_and_empty_tables(spark):
-    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(400)], "doc_id long, source string")
-    got = mixing.mix(docs, {"a": 3.0, "b": 1.0}, block=5).filter("slot < 40").groupBy("source").count().collect()
-    assert {r["source"]: r["count"] for r in got} == {"a": 150, "b": 50}
-    assert mixing.mix(docs, {"a": 0.0, "b": 1.0}).filter("source = 'a'").agg(F.min("slot")).first()[0] == 13
-    assert mixing.mix(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(docs, {"a": -1.0, "b": 1.0})
-
-
 def test_estimates_keep_their_bounds():
     rng = np.random.default_rng(6)
     v = rng.standard_normal((4000, 96))

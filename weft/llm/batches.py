@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a task holds at once, besides one text of any length.
 SLICE_BYTES = 2 << 20
@@ -15,6 +16,11 @@ SLICE_BYTES = 2 << 20
 _KEY, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
+def named(name: str) -> Column:
+    """The column of just that name, whatever marks it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def bound(spark: SparkSession, most: str = "3m") -> None:
     """Batches of at most ``most`` (or one row) between Spark and Python, unless the session has a bound of its own."""
     if spark.conf.get(_KEY, _DEFAULT) == _DEFAULT:
