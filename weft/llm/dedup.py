@@ -28,7 +28,8 @@ later job needs it:
 5. connected components over confirmed pairs: nodes move to their smallest
    neighbours and edges follow, until none is left.
 
-Sides of joins are broadcast behind a check of their size, else shuffled.
+Joins are left to Spark, but for the one that picks texts by id: its ids are
+broadcast behind a check of their size.
 
 Null and empty texts, and texts of white space only, have no shingles and link
 with nothing. Repeated rows are linked through their common fingerprint; rows
@@ -230,12 +231,12 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(every, pa.array(maps.reshape(-1)))], ["node", "map"])
 
 
-#: A side of a join is broadcast up to so many bytes; beyond, both sides are shuffled.
+#: Ids up to so many bytes are broadcast to the texts; beyond, texts are shuffled to them.
 BROADCAST_BYTES = 16 << 20
 
 
 def few(df: DataFrame, row_bytes: int = 16) -> DataFrame:
-    """``df``, marked for broadcasting if its rows of some ``row_bytes`` are few."""
+    """``df``, marked for broadcasting if its rows of some ``row_bytes`` are few: for joins whose other side is whole texts."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
@@ -251,11 +252,10 @@ def components(edges: DataFrame, tables: checkpoints.Tables) -> DataFrame:
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
         least = tables.put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("b")).select(F.col("a").alias("node"), F.col("b").alias("up")))
-        up = few(least)
-        step = least.join(up.withColumnsRenamed({"node": "at", "up": "far"}), F.col("up") == F.col("at"))
+        step = least.join(least.withColumnsRenamed({"node": "at", "up": "far"}), F.col("up") == F.col("at"))
         step = tables.put(step.select("node", F.col("far").alias("up")))
         tables.drop(least)
-        up = few(step)
+        up = step
         met = edges.join(up.withColumnsRenamed({"node": "a", "up": "x"}), "a").join(up.withColumnsRenamed({"node": "b", "up": "y"}), "b")
         left = tables.put(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct())
         tables.drop(edges)
@@ -276,21 +276,18 @@ def merged(labels: DataFrame | None, links: DataFrame, tables: checkpoints.Table
     """``labels`` (node, label; without the labels' own nodes) after the further edges ``links`` (a, b)."""
     if labels is None:
         return tables.put(components(links, tables))
-    known = few(labels)
-    ends = links.join(known.withColumnsRenamed({"node": "a", "label": "x"}), "a", "left").join(known.withColumnsRenamed({"node": "b", "label": "y"}), "b", "left")
+    ends = links.join(labels.withColumnsRenamed({"node": "a", "label": "x"}), "a", "left").join(labels.withColumnsRenamed({"node": "b", "label": "y"}), "b", "left")
     joined = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), tables)
-    up = few(joined).withColumnsRenamed({"node": "at", "label": "up"})
+    up = joined.withColumnsRenamed({"node": "at", "label": "up"})
     follow = labels.join(up, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label"))
     return tables.put(follow.union(joined))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tables: checkpoints.Tables) -> DataFrame:
-    """Of ``pairs`` (a, b, nb: the size of b's set) those that are links, by their full sets; few of the bs differ."""
-    size = pairs.select("b", "nb").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("nb").alias("shingles")).first()
-    hubs = sets.join(few(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    small = 8 * (size["shingles"] or 0) + 32 * size["n"] <= BROADCAST_BYTES
+    """Of ``pairs`` (a, b) those that are links, by their full sets; few of the bs differ."""
+    hubs = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     members = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    met = members.join(few(pairs.select("a", "b"), 24), "a").join(F.broadcast(hubs) if small else hubs, "b")
+    met = members.join(pairs, "a").join(hubs, "b")
     return tables.put(met.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"))
 
 
@@ -298,19 +295,18 @@ def _members(banded: DataFrame, labels: DataFrame | None) -> DataFrame:
     """band, node, n and the node's label."""
     if labels is None:
         return banded.withColumn("label", F.col("node"))
-    known = few(labels).withColumnsRenamed({"label": "found"})
-    return banded.join(known, "node", "left").select("band", "node", "n", F.coalesce("found", "node").alias("label"))
+    return banded.join(labels.withColumnsRenamed({"label": "found"}), "node", "left").select("band", "node", "n", F.coalesce("found", "node").alias("label"))
 
 
 def _to_hubs(banded: DataFrame, labels: DataFrame | None, draw: Column, percent: int, tables: checkpoints.Tables) -> DataFrame:
-    """Pairs (a, b, nb) of each band's members with its hub, the least by ``draw``, where labels differ and sizes allow a link."""
+    """Pairs (a, b) of each band's members with its hub, the least by ``draw``, where labels differ and sizes allow a link."""
     members = _members(banded, labels)
     drawn = F.struct(draw.alias("h"), F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
     bands = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(drawn).alias("d"))
     hubs = tables.put(bands.filter("lo < hi").select("band", "d.*"))
     alike = (F.col("label") != F.col("hub_label")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    met = members.join(few(hubs.drop("h"), 40), "band").filter(alike)
-    pairs = tables.put(met.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("hub_n").alias("nb")).distinct())
+    met = members.join(hubs.drop("h"), "band").filter(alike)
+    pairs = tables.put(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     tables.drop(hubs)
     return pairs
 
@@ -320,7 +316,7 @@ BAND_PART = 4_096
 
 
 def _across(banded: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int, tables: checkpoints.Tables) -> DataFrame | None:
-    """All pairs (a, b, nb) of a band's members with different labels of which b is outside the band's largest component.
+    """All pairs (a, b) of a band's members with different labels of which b is outside the band's largest component.
 
     What a band's largest component holds is connected already, so these are all
     the pairs that can still connect anything. A band's members are dealt into
@@ -330,13 +326,12 @@ def _across(banded: DataFrame, sets: DataFrame, labels: DataFrame | None, percen
     sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
     bands = sizes.groupBy("band").agg(F.max(F.struct("k", "label"))["label"].alias("most"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("labels"))
     mixed = tables.put(bands.filter("labels > 1").select("band", "most", F.ceil(F.col("size") / BAND_PART).cast("int").alias("parts")))
-    met = members.join(few(mixed, 24), "band").select("band", "node", "n", "label", "parts", (F.col("label") != F.col("most")).alias("outside"))
+    met = members.join(mixed, "band").select("band", "node", "n", "label", "parts", (F.col("label") != F.col("most")).alias("outside"))
     met = tables.put(met)
-    outside = met.filter("outside").count()
-    if not outside:
+    if not met.filter("outside").limit(1).count():
         return None
-    maps = tables.put(sets.join(few(met.select("node").distinct()), "node", "left_semi").select("node", "shingles").mapInArrow(_maps, "node long, map array<long>"))
-    mapped = met.join(few(maps, 16 + 8 * WORDS), "node")
+    maps = tables.put(sets.join(met.select("node").distinct(), "node", "left_semi").select("node", "shingles").mapInArrow(_maps, "node long, map array<long>"))
+    mapped = met.join(maps, "node")
     x = mapped.filter("outside").select("band", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", "map", "parts")])
     y = mapped.select("band", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "label", "map", "outside")], F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     # of sizes summing to S, sets that differ in D shingles are linked if 100 * (S - D) >= percent * (S + D)
@@ -347,13 +342,10 @@ def _across(banded: DataFrame, sets: DataFrame, labels: DataFrame | None, percen
         & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
         & ((100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("y_n")))
     )
-    if outside * (48 + 8 * WORDS) <= BROADCAST_BYTES:
-        found = y.join(F.broadcast(x), (x["band"] == y["band"]) & alike)
-    else:
-        x = x.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1)))
-        found = y.join(x, (x["band"] == y["band"]) & (F.col("at") == F.col("part")) & alike)
+    x = x.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1)))
+    found = y.join(x, (x["band"] == y["band"]) & (F.col("at") == F.col("part")) & alike)
     # a pair is found in every band that it shares
-    pairs = tables.put(found.select(F.col("y_node").alias("a"), F.col("x_node").alias("b"), F.col("x_n").alias("nb")).distinct())
+    pairs = tables.put(found.select(F.col("y_node").alias("a"), F.col("x_node").alias("b")).distinct())
     tables.drop(mixed, met, maps)
     return pairs
 
@@ -377,7 +369,7 @@ def near_duplicates(
     classes = tables.put(copies)
     spread = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = tables.put(spread.groupBy("band").agg(F.count(F.lit(1)).alias("in_band")).filter("in_band > 1").select("band"))
-    banded = tables.put(spread.join(few(shared), "band", "left_semi").select("band", "node", "n"))
+    banded = tables.put(spread.join(shared, "band", "left_semi").select("band", "node", "n"))
     tables.drop(shared)
     labels: DataFrame | None = None
     if banded.limit(1).count():
@@ -397,12 +389,12 @@ def near_duplicates(
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
     linked = tables.put(labels.union(labels.select(F.col("label").alias("node"), "label").distinct()))
-    found = classes.select("node", "rep", "copies").join(few(linked), "node", "left")
+    found = classes.select("node", "rep", "copies").join(linked, "node", "left")
     groups = tables.put(found.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least")))
-    found = found.join(few(groups, 32), "label", "left")
+    found = found.join(groups, "label", "left")
     # where a set has one row and no link, the row is its own component
     named = tables.put(found.filter("copies > 1 or least is not null").select("node", F.coalesce("least", "rep").alias("found")))
-    rows = sketched.select("id", "n_shingles", "node").join(few(named, 32), "node", "left")
+    rows = sketched.select("id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("found", "id")).otherwise(F.col("id")))
     out = rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
     done = tables.put(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))
@@ -412,7 +404,7 @@ def near_duplicates(
 
 def _sets_of(docs: DataFrame, classes: DataFrame, banded: DataFrame, id_col: str, text_col: str, width: int, tables: checkpoints.Tables) -> DataFrame:
     """node and shingles of the sets that share a band with another, once each, from the texts of their smallest ids."""
-    reps = tables.put(classes.join(few(banded.select("node").distinct()), "node", "left_semi").select("rep"))
+    reps = tables.put(classes.join(banded.select("node").distinct(), "node", "left_semi").select("rep"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(few(reps), F.col("id") == F.col("rep"), "left_semi")
     sets = tables.put(shingle_sets(rows, "id", "text", width).filter("n_shingles > 0").select("node", "shingles"))
