@@ -37,20 +37,32 @@ def test_ids_are_the_library_s(model, library, text):
     assert scan.Decoder(model.table)(ids, counts) == [text]
 
 
+def parts_of(whole, size, width):
+    for a, b in scan.chunks(len(whole), size, width):
+        lo = max(0, a - width)
+        yield whole[lo : b + width], a - lo, b - lo, a == 0, b == len(whole)
+
+
 @settings(max_examples=60, deadline=None)
-@given(LETTERS, st.sampled_from([17, 20, 33]), st.booleans())
+@given(LETTERS, st.sampled_from([33, 40, 64]), st.booleans())
 def test_chunks_and_matrices_give_the_same(model, library, text, size, spaces):
-    whole = " " + (text * 4 if spaces else (text * 4).replace(" ", ""))
-    width, parts, sure_in = model.table.longest, [], True
-    for a, b, sure in scan.chunks(whole, size):
-        lo = a if sure_in else max(0, a - width)
-        parts.append((whole[lo : b if sure else b + width], a - lo, b - lo, sure_in, sure))
-        sure_in = sure
-    states = scan.boundary_states([scan.transfer(model, *p) for p in parts])
+    whole = " " + (text * 6 if spaces else (text * 6).replace(" ", "").replace("\n", ""))
+    parts = list(parts_of(whole, size, 16))
+    made = [scan.transfer(model, *p) for p in parts]
+    # places of every path only save work: the matrices are those of the plain run
+    assert all((m == scan._run(model, *p)).all() for m, p in zip(made, parts))
+    states = scan.boundary_states(made)
     got = [i for p, x, y in zip(parts, states, states[1:]) for i in scan.trace(model, *p, x, y)]
     assert got == (library.encode(whole[1:]) if len(whole) > 1 else scan.trace(model, " ", 0, 1, True, True))
 
 
+def test_chunks_are_nominal():
+    for n in (1, 15, 16, 100, 115, 116, 117, 1000):
+        cut = scan.chunks(n, 100, 16)
+        assert cut[0][0] == 0 and cut[-1][1] == n and all(a[1] == b[0] for a, b in zip(cut, cut[1:]))
+        assert all(b - a == 100 for a, b in cut[:-1]) and (len(cut) == 1 or 16 <= cut[-1][1] - cut[-1][0] < 116)
+
+
 def test_products_are_associative():
     rng = np.random.default_rng(0)
     a, b, c = (np.where(rng.random(s) < 0.5, -np.inf, rng.random(s)) for s in ((3, 4), (4, 2), (2, 5)))
@@ -60,7 +72,7 @@ def test_products_are_associative():
 def test_giant_texts_over_the_cluster(spark, table, library):
     rng = random.Random(1)
     run = "".join(rng.choices("abcdethinges", k=3000))
-    texts = [None, "", " ", "plain text", "words and more " * 400, run, run + " " + run, "x" * 2500, "words and more " * 400]
+    texts = [None, "", " ", "plain text", "line\nends\n\n and  spaces " * 90, "words and more " * 400, run, run + " " + run, "x" * 2500, "words and more " * 400]
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     got = scan.decode(scan.encode(docs, table, giant=1000, chunk=256), table)
     assert got.columns == ["doc_id", "text", "ids", "decoded"]
@@ -72,6 +84,43 @@ def test_giant_texts_over_the_cluster(spark, table, library):
     assert scan.encode(docs.limit(0), table).count() == 0
 
 
+def test_matrices_of_a_giant_are_combined_in_levels(spark, table, library, monkeypatch):
+    """A giant of the given tables, in chunks of many tasks: matrices for all of them, levels of a few, the library's ids."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(F.char_length("text") > scan.GIANT).select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert texts
+    monkeypatch.setattr(scan, "FAN", 3)
+    seen, whole_scan = [], scan.scan
+
+    def watched(matrices, most, tables):
+        states = whole_scan(matrices, most, tables)
+        seen.append((matrices.withColumn("file", F.input_file_name()).toPandas(), most, states.toPandas()))
+        return states
+
+    monkeypatch.setattr(scan, "scan", watched)
+    more = docs.select(*["doc_id", "text"], *[F.lit("x").alias(c) for c in ("key", "row", "k", "_key", "decoded")])
+    got = scan.encode(more, table, chunk=2048, check_col="same").collect()
+    found, most, states = seen[0]
+    lengths = {len(t) + 1 for t in texts.values()}
+    assert len(found) >= sum(n // 2048 for n in lengths) > 30 and most == -(-max(lengths) // 2048)
+    assert (found["matrix"].map(len) > 4).mean() > 0.9  # nearly all boundaries have several states
+    assert len(states) == len(found) and found["file"].nunique() > 1  # a file a task
+    for r in got:
+        assert r.ids == library.encode(texts[r.doc_id]) and r.same and r.row == r.key == "x"
+
+
+def test_boundary_states_of_a_part_are_those_of_the_whole(model, library):
+    rng = random.Random(3)
+    text = " " + "".join(rng.choices("abcdethinges", k=700))
+    made = [scan.transfer(model, *p) for p in parts_of(text, 50, 16)]
+    states = scan.boundary_states(made)
+    left, right = made[:6], made[6:]
+    from functools import reduce
+
+    middle = scan.boundary_states([reduce(scan.product, left), reduce(scan.product, right)])
+    assert scan.boundary_states(left, 0, middle[1]) + scan.boundary_states(right, middle[1], 0)[1:] == states
+
+
 def test_estimates_keep_their_bounds():
     rng = np.random.default_rng(6)
     v = rng.standard_normal((4000, 96))

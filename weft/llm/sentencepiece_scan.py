@@ -11,28 +11,34 @@ isn't empty, characters without a piece become their UTF-8 bytes' pieces;
 nothing else is normalised, so decoding gives the text back, character for
 character (a mark U+2581 in a text is encoded as bytes and comes back too).
 
-No piece holds a space but at its start, so a place before a space that follows
-another character is a place of every path. Texts up to ``GIANT`` characters
-are words in this sense and each distinct word is segmented once. Longer texts
-are dealt out in chunks of about ``CHUNK`` characters over the cluster:
+No piece holds a space but at its start and none a line end, so a place before a
+space that follows another character, and those around a line end, are places of
+every path. Texts up to ``GIANT`` characters are words in this sense and each
+distinct word is segmented once. Longer texts are cut every ``CHUNK`` characters,
+wherever that falls, and the chunks are dealt out over the cluster:
 
 1. each chunk gives its transfer matrix: the weight of the best path from every
    entry state to every exit state, a state being the piece that ends at or
-   crosses the boundary. At a place of every path there is one state and the
-   matrix is one number; in a run without spaces there are as many as pieces
-   over the boundary;
-2. the matrices are multiplied along each text (associative) and every boundary
-   gets the state of the best path. This step sees matrices, never text;
+   crosses the boundary. Between a chunk's first and last place of every path there
+   is one state and one path, so the matrix is the product of a column for what is
+   before, and a row for what is behind; a chunk without such a place is one run;
+2. the matrices are combined associatively, ``FAN`` neighbours at a time, level by
+   level up to one matrix a text; then, level by level down, a node's two states
+   give those of the boundaries within. This step sees matrices, never text, and no
+   group has more than FAN of them;
 3. each chunk, on its own, traces its pieces back between its two states.
 
 Null texts have null ids, empty texts none. Equal giant texts are encoded once
-and joined back to all their rows, so repeated rows are kept.
+and joined back to all their rows, so repeated rows are kept. An empty table gives
+an empty result. Input columns with the names of the results are replaced; all
+others are kept whatever their names (rows of giant texts travel packed).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -43,14 +49,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
+from weft.llm import checkpoints
 from weft.llm.batches import bound, slices
+from weft.llm.batches import named as column
 from weft.llm.pieces import LOCKSTEP, MARK, Neighbours, PieceTable, by_length
 
-GIANT, CHUNK = 65_536, 16_384
+GIANT, CHUNK = 65_536, 8_192
+#: Neighbouring matrices that one step multiplies, and chunks in a task.
+FAN, CHUNKS_A_TASK = 16, 8
 #: Text bytes whose words are looked up together (more of them are equal in a larger slice), and whose ids are put together.
 SLICE, PART = 4 << 20, 1 << 20
-#: How far back from a chunk's nominal end a place before a space is looked for.
-LOOK_BACK = 1_024
 
 _SPACED = re.compile(r" +[^ ]*")
 
@@ -112,8 +120,18 @@ def _sure(at: int) -> list[Edge]:
     return [(at, at, -1)]
 
 
-def transfer(model: Model, text: str, start: int, end: int, sure_in: bool, sure_out: bool) -> np.ndarray:
-    """Weights [entry state, exit state] of the chunk text[start:end]; text around it holds what crossing pieces need."""
+def sure_places(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The first and the last place of every path in [start, end): what crosses ``end`` starts behind them."""
+
+    def sure(p: int) -> bool:
+        return 0 < p < len(text) and ("\n" in text[p - 1 : p + 1] or text[p] == " " != text[p - 1])
+
+    first = next((p for p in range(start, end) if sure(p)), None)
+    return None if first is None else (first, next(p for p in range(end - 1, first - 1, -1) if sure(p)))
+
+
+def _run(model: Model, text: str, start: int, end: int, sure_in: bool, sure_out: bool) -> np.ndarray:
+    """Weights [entry state, exit state] of text[start:end], path by path."""
     entries = _sure(start) if sure_in else crossing(model, text, start)
     weight, _ = _paths(model, text, entries, start, end)
     none = np.full(len(entries), -np.inf)
@@ -122,17 +140,26 @@ def transfer(model: Model, text: str, start: int, end: int, sure_in: bool, sure_
     return np.array([weight.get(e, none) for e in crossing(model, text, end)]).T
 
 
+def transfer(model: Model, text: str, start: int, end: int, sure_in: bool, sure_out: bool) -> np.ndarray:
+    """Weights [entry state, exit state] of the chunk text[start:end]; text around it holds what crossing pieces need."""
+    found = sure_places(text, start, end)
+    if found is None:
+        return _run(model, text, start, end, sure_in, sure_out)
+    # from the first to the last place of every path there is one path, of weight 0
+    return product(_run(model, text, start, found[0], sure_in, True), _run(model, text, found[1], end, True, sure_out))
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The (max, +) product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """The best path's state at each boundary, the first and the last included."""
-    forward = [np.zeros((1, 1))]
+def boundary_states(matrices: list[np.ndarray], entry: int = 0, exit: int = 0) -> list[int]:
+    """The best path's state at each boundary, from the state ``entry`` to the state ``exit``, which are the first and the last."""
+    forward = [np.where(np.arange(len(matrices[0])) == entry, 0.0, -np.inf)[None, :]]
     for m in matrices:
         forward.append(product(forward[-1], m))
-    states = [0]
+    states = [exit]
     for k in range(len(matrices) - 1, -1, -1):
         states.append(int((forward[k][0] + matrices[k][:, states[-1]]).argmax()))
     return states[::-1]
@@ -203,8 +230,13 @@ def split_words(text: str) -> list[str]:
 
     Line ends have no piece but their byte's, so nothing merges over them.
     """
+    return split_between(" " + text)
+
+
+def split_between(text: str) -> list[str]:
+    """The words of a text between two places of every path."""
     out: list[str] = []
-    for k, line in enumerate((" " + text).split("\n")):
+    for k, line in enumerate(text.split("\n")):
         if k:
             out.append("\n")
         if line:
@@ -279,22 +311,10 @@ def _list_array(ids: np.ndarray, counts: np.ndarray, null: np.ndarray | None = N
     return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
 
 
-def chunks(text: str, size: int = CHUNK) -> list[tuple[int, int, bool]]:
-    """(start, end, whether the end is a place of every path) of the chunks of ``" " + text``."""
-    whole, out, at = len(text), [], 0
-    while at < whole:
-        end = min(at + size, whole)
-        sure = end == whole
-        if not sure:
-            for p in range(end, max(at + 16, end - LOOK_BACK), -1):
-                if text[p] == " " and text[p - 1] != " ":
-                    end, sure = p, True
-                    break
-            if whole - end < 16:
-                end, sure = whole, True
-        out.append((at, end, sure))
-        at = end
-    return out
+def chunks(length: int, size: int, least: int) -> list[tuple[int, int]]:
+    """(start, end) of a text's chunks: ``size`` each, the last one between ``least`` and size + least."""
+    ends = [*range(size, max(1, length - least + 1), size), length]
+    return list(zip([0, *ends], ends))
 
 
 def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
@@ -328,68 +348,112 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col:
                     yield made
 
     schema = StructType([*kept.schema.fields]).add(ids_col, ArrayType(IntegerType()))
-    done = short.mapInArrow(run, schema.add(check_col, BooleanType()) if check_col else schema)
-    giants = _encode_giants(long, held, text_col, ids_col, chunk)
+    out = schema.add(check_col, BooleanType()) if check_col else schema
+    done = short.mapInArrow(run, out)
+    width = max(16, table.longest)
+    chunk = max(chunk, 2 * width)
+    length = F.char_length(text_col)
+    found = long.agg(F.max(length).alias("longest"), F.sum(F.ceil((length + 1) / chunk)).alias("chunks")).first()
+    if not found["longest"]:
+        return done
+    giants = _encode_giants(long, held, text_col, chunk, width, found["chunks"], found["longest"])
+    giants = decode(giants, table, "ids", "decoded") if check_col else giants
+    cols = [F.col("row").getField(c).alias(c) for c in kept.columns] + [F.col("ids").alias(ids_col)]
     if check_col:
-        giants = decode(giants, table, ids_col, "_decoded").withColumn(check_col, F.col("_decoded") == F.col(text_col)).drop("_decoded")
-    return done.unionByName(giants)
+        cols.append((F.col("decoded") == F.col("row").getField(text_col)).alias(check_col))
+    return done.unionByName(giants.select(*cols))
+
+
+#: Columns of a chunk: its text's key, its number, its text with what crosses its ends, where it starts and ends in that, and whether these are the text's ends.
+_PART = {"key": pa.string(), "k": pa.int32(), "part": pa.string(), "start": pa.int32(), "end": pa.int32(), "sure_in": pa.bool_(), "sure_out": pa.bool_()}
+_STATES = "key string, k int, entry int, exit int"
+_MATRIX = "key string, k int, entries int, matrix binary"
+
+
+def _read(entries: int, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.float32).reshape(entries, -1).astype(np.float64)
+
 
+def _multiplied(frame: pd.DataFrame) -> pd.DataFrame:
+    """One matrix of at most FAN neighbours."""
+    frame = frame.sort_values("k")
+    whole = reduce(product, map(_read, frame["entries"], frame["matrix"]))
+    return pd.DataFrame({"key": frame["key"].iloc[:1], "k": frame["up"].iloc[:1], "entries": [len(whole)], "matrix": [whole.astype(np.float32).tobytes()]})
 
-def _encode_giants(docs: DataFrame, held, text_col: str, ids_col: str, chunk: int) -> DataFrame:
-    keyed = docs.withColumn("_key", F.sha2(F.col(text_col), 256))
-    names = ["key", "k", "run", "part", "start", "end", "sure_in", "sure_out"]
+
+def _opened(frame: pd.DataFrame) -> pd.DataFrame:
+    """The states at the boundaries of at most FAN neighbours, from those of the whole."""
+    frame = frame.sort_values("k")
+    states = boundary_states(list(map(_read, frame["entries"], frame["matrix"])), int(frame["entry"].iloc[0]), int(frame["exit"].iloc[0]))
+    return pd.DataFrame({"key": frame["key"], "k": frame["k"], "entry": states[:-1], "exit": states[1:]})
+
+
+def scan(matrices: DataFrame, most: int, tables: checkpoints.Tables) -> DataFrame:
+    """key, k, entry and exit: the states at both ends of every chunk, from all chunks' matrices, of which a text has ``most`` at most."""
+    up = F.floor(F.col("k") / F.lit(FAN)).cast("int").alias("up")
+    levels = [matrices]
+    while most > 1:
+        levels.append(tables.put(levels[-1].select("*", up).groupBy("key", "up").applyInPandas(_multiplied, _MATRIX)))
+        most = -(-most // FAN)
+    states = levels.pop().select("key", "k", F.lit(0).alias("entry"), F.lit(0).alias("exit"))
+    for level in reversed(levels):
+        above = states.withColumnRenamed("k", "up")
+        states = level.select("*", up).join(above, ["key", "up"]).groupBy("key", "up").applyInPandas(_opened, _STATES)
+    return states
+
+
+def _encode_giants(docs: DataFrame, held, text_col: str, chunk: int, width: int, n_chunks: int, longest: int) -> DataFrame:
+    """key, row (all columns of ``docs``) and ids."""
+    tables = checkpoints.Tables(docs.sparkSession)
+    keyed = docs.select(F.sha2(F.col(text_col), 256).alias("key"), F.struct(*map(column, docs.columns)).alias("row"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = held.value.table.longest
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
         for batch in batches:
             for key, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                text, rows, sure_in, run = " " + text, [], True, 0
-                for k, (a, b, sure) in enumerate(chunks(text, chunk)):
-                    run += sure_in  # chunks up to the next sure place are a run
-                    lo = a if sure_in else max(0, a - width)
-                    rows.append((key, k, run, text[lo : b if sure else b + width], a - lo, b - lo, sure_in, sure))
-                    sure_in = sure
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                text, rows = " " + text, []
+                for k, (a, b) in enumerate(chunks(len(text), chunk, width)):
+                    lo = max(0, a - width)
+                    rows.append((key, k, text[lo : b + width], a - lo, b - lo, a == 0, b == len(text)))
+                for at in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), _PART.values())], list(_PART))
 
-    schema = "key string, k int, run int, part string, start int, end int, sure_in boolean, sure_out boolean"
-    parts = keyed.select("_key", text_col).dropDuplicates(["_key"]).mapInArrow(cut, schema).repartition("key", "k")
+    schema = "key string, k int, part string, start int, end int, sure_in boolean, sure_out boolean"
+    once = keyed.select("key", F.col("row").getField(text_col).alias("text")).dropDuplicates(["key"])
+    parts = tables.put(once.mapInArrow(cut, schema).repartition(-(-n_chunks // CHUNKS_A_TASK), "key", "k"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                m = transfer(held.value, *(r[x] for x in names[3:]))
-                cols = {"key": [r["key"]], "k": pa.array([r["k"]], pa.int32()), "run": pa.array([r["run"]], pa.int32())}
-                yield pa.RecordBatch.from_pydict(cols | {"entries": pa.array([len(m)], pa.int32()), "matrix": [m.tobytes()]})
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("k")
-        states = boundary_states([np.frombuffer(m, np.float64).reshape(e, -1) for m, e in zip(frame["matrix"], frame["entries"])])
-        return pd.DataFrame({"key": frame["key"], "k": frame["k"], "entry": states[:-1], "exit": states[1:]})
+            made = [transfer(held.value, *(r[x] for x in [*_PART][2:])) for r in batch.to_pylist()]
+            cols = [batch.column(0), batch.column(1), pa.array(list(map(len, made)), pa.int32()), pa.array([m.astype(np.float32).tobytes() for m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "k", "entries", "matrix"])
 
-    # a chunk between two sure places needs no matrix: its states are known
-    opened = parts.filter(~(F.col("sure_in") & F.col("sure_out"))).mapInArrow(matrices, "key string, k int, run int, entries int, matrix binary")
-    known = opened.groupBy("key", "run").applyInPandas(scan, "key string, k int, entry int, exit int")
-    placed = parts.join(known, ["key", "k"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("entry", "exit")})
+    found = tables.put(parts.mapInArrow(matrices, _MATRIX))
+    placed = parts.join(scan(found, -(-(longest + 1) // chunk), tables), ["key", "k"])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value)
+        model = held.value
+        encoder = Encoder(model)
         for whole in batches:
             for batch in slices(whole, 2, SLICE):
-                rows = batch.to_pylist()
-                closed = [split_words(r["part"][1:]) if r["sure_in"] and r["sure_out"] else [] for r in rows]
-                ids, counts = encoder(closed)
-                lists = np.split(ids, np.cumsum(counts)[:-1])
-                for i, r in enumerate(rows):
-                    if not closed[i]:
-                        lists[i] = np.array(trace(held.value, *(r[x] for x in names[3:]), r["entry"], r["exit"]), np.int32)
+                lists = []
+                for r in batch.to_pylist():
+                    text, start, end = r["part"], r["start"], r["end"]
+                    sure = sure_places(text, start, end)
+                    if sure is None:
+                        lists.append(np.array(trace(model, text, start, end, r["sure_in"], r["sure_out"], r["entry"], r["exit"]), np.int32))
+                        continue
+                    before = trace(model, text, start, sure[0], r["sure_in"], True, r["entry"])
+                    behind = trace(model, text, sure[1], end, True, r["sure_out"], 0, r["exit"])
+                    between, _ = encoder([split_between(text[sure[0] : sure[1]])])
+                    lists.append(np.concatenate([np.array(before, np.int32), between, np.array(behind, np.int32)]))
                 made = _list_array(np.concatenate(lists), np.array(list(map(len, lists))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["key", "k", "ids"])
 
-    traced = placed.select("key", "k", *names[3:], "entry", "exit").mapInArrow(follow, "key string, k int, ids array<int>")
+    traced = placed.select(*_PART, "entry", "exit").mapInArrow(follow, "key string, k int, ids array<int>")
     joined = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("all"))
-    joined = joined.select(F.col("key").alias("_key"), F.flatten("all.ids").alias(ids_col))
-    return keyed.join(joined, "_key", "left").drop("_key")
+    done = tables.put(joined.select("key", F.flatten("all.ids").alias("ids")))
+    tables.drop_others(done)
+    return keyed.join(done, "key")
 
 
 def decode(encoded: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
