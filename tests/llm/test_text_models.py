@@ -175,6 +175,73 @@ def test_forward_sums_all_segmentations(table):
     assert np.isfinite(language.word_logs(table, p, [long])[0]).all()
 
 
+def plain_expected(table, p, word):
+    """Piece -> use, over all segmentations written out."""
+    found = []
+
+    def walk(i, ids, q):
+        if i == len(word):
+            found.append((ids, q))
+        for k in range(1, min(table.longest, len(word) - i) + 1):
+            at = table.ids.get(word[i : i + k], -1 if k == 1 else None)
+            if at is not None:
+                walk(i + k, [*ids, at], q * p[at])
+
+    walk(0, [], np.ones(p.shape[1]))
+    total, out = sum(q for _, q in found), np.zeros_like(p)
+    for ids, q in found:
+        for x in ids:
+            out[x] += q / total
+    return out
+
+
+def test_expected_counts_are_those_of_all_segmentations(table):
+    rng = np.random.default_rng(6)
+    p = rng.random((len(table.pieces) + 1, 2)) * 1e-3
+    words = ["the", "été", "漢x", "abcab", "ﷺ"]
+    tally = rng.integers(0, 5, (len(words), 2)).astype(float)
+    want = sum(plain_expected(table, p, " " + w) * n for w, n in zip(words, tally))
+    assert np.allclose(language.expected(table, p, words, tally), want, rtol=1e-9)
+    for w, n in zip(words, tally):
+        one = np.zeros_like(p)
+        language._expected_long(table, p, " " + w, one, n)
+        assert np.allclose(one, plain_expected(table, p, " " + w) * n, rtol=1e-9)
+    long = "abcdethinges漢" * 300  # neither ends in nothing nor overflows; every character is used once
+    out = language.expected(table, p, [long], np.array([[2.0, 1.0]]))
+    sizes = np.array([len(x.replace(pieces.MARK, " ")) for x in table.pieces] + [1])
+    assert np.allclose(sizes @ out, [2 * len(" " + long), len(" " + long)])
+
+
+def test_training_is_plain_em(spark, table):
+    rows = [(1, "ab abc ab", "x"), (2, "abd " * 3, "y"), (3, "q" * 40 + " ab", "x"), (4, None, "x"), (5, "zz", None)]
+    langs, p = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), table, rounds=2)
+    assert langs == ["x", "y"]
+    counts = {"ab": (3, 0), "abc": (1, 0), "abd": (0, 3), "q" * 40: (1, 0)}
+    want = np.full_like(p, 1.0 / len(table.pieces))
+    for _ in range(2):
+        sums = np.zeros_like(p)
+        for w, n in counts.items():
+            if len(w) < 10:
+                sums += plain_expected(table, want, " " + w) * np.array(n)
+            else:
+                language._expected_long(table, want, " " + w, sums, np.array(n, float))
+        want = sums + language.SMOOTHING
+        want /= want.sum(axis=0)
+        want[-1] = language.UNKNOWN
+    assert np.allclose(p, want, rtol=1e-5)
+
+
+def test_a_language_without_spaces_is_learned(spark, table):
+    rng = random.Random(4)
+    kana = [chr(c) for c in range(0x3042, 0x3080)]
+    rows = [(i, "".join(rng.choices(kana, k=56)) + "。" + "".join(rng.choices(kana, k=90)), "ja", "s") for i in range(40)]
+    rows += [(100 + i, " ".join("".join(rng.choices("aeinrst", k=5)) for _ in range(20)), "en", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    model = language.train(docs.filter("doc_id % 2 = 0"), table)
+    got = language.predict(docs.filter("doc_id % 2 = 1"), table, model).collect()
+    assert model[0] == ["en", "ja"] and len(got) == 40 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_languages_on_held_out_rows(spark, table):
     rng = random.Random(8)
     rows = []
@@ -191,3 +258,4 @@ def test_languages_on_held_out_rows(spark, table):
     assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == len(rows)
     nothing = language.train(docs.filter(F.lit(False)), table)
     assert {r.lang_pred for r in language.predict(docs, table, nothing).collect()} == {"und"}
+    assert language.predict(docs.limit(0), table, model).count() == 0

@@ -7,13 +7,20 @@ of letters, in lower case, each behind a space). The language with the largest
 sum of logarithms wins, ties go to the first name, and the score is its share
 under equal priors.
 
-The probabilities are fitted by expectation-maximisation (forward-backward over
-the words' lattices) on word counts of a bounded sample of labelled documents
-(``max_rows``, drawn by the hash of the id), of which each language keeps its
-``MOST_WORDS`` most frequent words; so what reaches the driver is bounded.
+The probabilities are fitted by expectation-maximisation on all words of a bounded
+sample of labelled documents (``max_rows``, drawn by the hash of the id). Words
+are counted by language and dealt into ``SHARDS``; in each round every shard runs
+forward-backward over its words' lattices in its own task, words of any length
+included, and the pieces' expected counts are summed by Spark. So what reaches the
+driver is a number for each piece and language.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows without a
-language are not learned from. Without any language everything is ``und``.
+language or with a null text are not learned from; without any language everything
+is ``und``. Ties go to the first name. Repeated rows count as often as they are there
+and are predicted alike; an empty table gives an empty result. Long texts are read
+whole, in Arrow batches of one row each; a long word by itself, rescaled as it goes.
+Input columns lang_pred and score are replaced, all others kept: only the text is
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,14 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from weft.llm import checkpoints
 from weft.llm.batches import slices
 from weft.llm.pieces import LOCKSTEP, PieceTable, WordCache, by_length
 
-MAX_ROWS, MOST_WORDS, ROUNDS = 16_000, 20_000, 4
+MAX_ROWS, SHARDS, ROUNDS = 4_000, 24, 4
 #: Count that every piece has from the start, and the probability of a character without a piece.
 SMOOTHING, UNKNOWN = 0.02, 1e-7
 
@@ -104,58 +112,110 @@ def word_logs(table: PieceTable, p: np.ndarray, words: list[str]) -> list[np.nda
     return out
 
 
-def fit(table: PieceTable, counts: list[Counter], rounds: int = ROUNDS) -> np.ndarray:
-    """Probabilities (pieces + 1, languages) from each language's word counts."""
-    v, k = len(table.pieces), len(counts)
-    p = np.full((v + 1, k), 1.0 / v)
-    words = sorted({w for c in counts for w in c})
-    tally = np.array([[c.get(w, 0) for c in counts] for w in words], np.float64).reshape(len(words), k)
-    lattices = []
-    for own, codes in by_length([" " + w for w in words]):
-        lattices.append((own, _lattice(table, codes), codes.shape))
-    for _ in range(rounds):
-        expected = np.full((v + 1, k), SMOOTHING)
-        for own, lattice, (m, n) in lattices:
-            alpha = _forward(lattice, p, m, n)
-            beta = np.zeros_like(alpha)
-            beta[:, n] = 1
-            for i, length, rows, ids in reversed(lattice):
-                beta[rows, i] += p[ids] * beta[rows, i + length]
-            weight = tally[own] / np.maximum(alpha[:, n], 1e-300)
-            for i, length, rows, ids in lattice:
-                gain = alpha[rows, i] * p[ids] * beta[rows, i + length] * weight[rows]
-                for lang in range(k):
-                    expected[:, lang] += np.bincount(ids % (v + 1), gain[:, lang], minlength=v + 1)
-        p = expected / expected.sum(axis=0)
-        p[v] = UNKNOWN
+def _expected_long(table: PieceTable, p: np.ndarray, word: str, out: np.ndarray, weight: np.ndarray) -> None:
+    """Adds to ``out`` what one word of any length is expected to use of each piece, times ``weight``; sums are rescaled at every place."""
+    n, ids, k = len(word), table.ids, p.shape[1]
+    edges: list[list[tuple[int, int]]] = []  # by start: end, piece
+    for i in range(n):
+        ends = [(i + m, ids[word[i : i + m]]) for m in range(1, min(table.longest, n - i) + 1) if word[i : i + m] in ids]
+        edges.append(ends if ends and ends[0][0] == i + 1 else [(i + 1, -1), *ends])
+    width = table.longest + 1
+    alpha, beta = np.zeros((n + width, k)), np.zeros((n + width, k))
+    left, right = np.zeros((n + 1, k)), np.zeros((n + 1, k))  # logarithms of what alpha and beta were divided by
+    alpha[0] = beta[n] = 1
+    for i in range(n):
+        for j, x in edges[i]:
+            alpha[j] += alpha[i] * p[x]
+        scale = alpha[i + 1 : i + width].max(axis=0)
+        alpha[i + 1 : i + width] /= scale
+        left[i + 1] = left[i] + np.log(scale)
+    for i in range(n - 1, -1, -1):
+        for j, x in edges[i]:
+            beta[i] += p[x] * beta[j] * np.exp(right[j] - right[i + 1])
+        right[i] = right[i + 1] + np.log(beta[i])
+        beta[i] = 1
+    for i in range(n):
+        for j, x in edges[i]:
+            out[x] += weight * alpha[i] * p[x] * beta[j] * np.exp(left[i] + right[j] - left[n]) / alpha[n]
+
+
+def expected(table: PieceTable, p: np.ndarray, words: list[str], tally: np.ndarray) -> np.ndarray:
+    """How often each piece (the last row: characters without one) is used in ``tally`` (words, languages) words, under p."""
+    v = len(table.pieces)
+    out = np.zeros((v + 1, p.shape[1]))
+    padded = [" " + w for w in words]
+    for own, codes in by_length(padded):
+        m, n = codes.shape
+        lattice = _lattice(table, codes)
+        alpha = _forward(lattice, p, m, n)
+        beta = np.zeros_like(alpha)
+        beta[:, n] = 1
+        for i, length, rows, ids in reversed(lattice):
+            beta[rows, i] += p[ids] * beta[rows, i + length]
+        weight = tally[own] / np.maximum(alpha[:, n], 1e-300)
+        at = np.concatenate([ids for _, _, _, ids in lattice]) % (v + 1)
+        gain = np.concatenate([alpha[rows, i] * p[ids] * beta[rows, i + length] * weight[rows] for i, length, rows, ids in lattice])
+        for lang in range(p.shape[1]):
+            out[:, lang] += np.bincount(at, gain[:, lang], minlength=v + 1)
+    for w, n in zip(padded, tally):
+        if len(w) > LOCKSTEP:
+            _expected_long(table, p, w, out, n)
+    return out
+
+
+def maximised(sums: np.ndarray) -> np.ndarray:
+    """Probabilities from expected counts; rounded, so that they don't depend on the order of summation."""
+    p = sums + SMOOTHING
+    p = (p / p.sum(axis=0)).astype(np.float32).astype(np.float64)
+    p[-1] = UNKNOWN
     return p
 
 
-def train(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities from rows of ``docs`` with a language."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col)
+    spark = docs.sparkSession
+    tables = checkpoints.Tables(spark)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     n = docs.filter(F.col(lang_col).isNotNull()).select(id_col).count()
     if n > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 20)) < max_rows * (1 << 20) // n)
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < max_rows * (1 << 20) // n)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
                 seen: Counter = Counter()
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    seen.update((lang, w) for w in words_of(text) if len(w) < LOCKSTEP)
+                    seen.update((lang, w) for w in words_of(text))
                 pairs = list(zip(*seen)) or [(), ()]
                 cols = [pa.array(pairs[0], pa.string()), pa.array(pairs[1], pa.string()), pa.array(list(seen.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["lang", "word", "n"])
 
-    counted = rows.select(text_col, lang_col).mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    found = counted.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= MOST_WORDS).select("lang", "word", "n").collect()
-    langs = sorted({r.lang for r in found})
-    counts = [Counter() for _ in langs]
-    for r in found:
-        counts[langs.index(r.lang)][r.word] = r.n
-    return langs, fit(table, counts) if langs else np.zeros((len(table.pieces) + 1, 0))
+    counted = rows.select("text", "lang").mapInArrow(tally, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    # a word has an entry a language at most
+    words = tables.put(counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n")).repartition(SHARDS, "word"))
+    langs = sorted(r.lang for r in words.select(F.explode(F.map_keys("n")).alias("lang")).distinct().collect())
+    v, k = len(table.pieces), len(langs)
+    p = np.full((v + 1, k), 1.0 / v)
+    for _ in range(rounds if langs else 0):
+        held = spark.sparkContext.broadcast((table, p))
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, p = held.value
+            total = np.zeros_like(p)
+            for whole in batches:
+                for part in slices(whole):
+                    tallies = np.array([[dict(n).get(lang, 0) for lang in langs] for n in part.column(1).to_pylist()], np.float64)
+                    total += expected(table, p, part.column(0).to_pylist(), tallies)
+            piece, lang = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
+
+        used = words.mapInArrow(step, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        sums = np.zeros_like(p)
+        sums[used["piece"].to_numpy(), used["lang"].to_numpy()] = used["n"].to_numpy()
+        p = maximised(sums)
+        held.unpersist(blocking=True)
+    tables.drop(words)
+    return langs, p
 
 
 def predict(docs: DataFrame, table: PieceTable, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
