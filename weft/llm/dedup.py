@@ -28,8 +28,8 @@ later job needs it:
 5. connected components over confirmed pairs: nodes move to their smallest
    neighbours and edges follow, until none is left.
 
-Joins are left to Spark, but for the one that picks texts by id: its ids are
-broadcast behind a check of their size.
+Joins that pick texts or sets by id broadcast the ids behind a check of their
+size; the others shuffle both sides, so that Spark can split hot keys.
 
 Null and empty texts, and texts of white space only, have no shingles and link
 with nothing. Repeated rows are linked through their common fingerprint; rows
@@ -231,13 +231,13 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(every, pa.array(maps.reshape(-1)))], ["node", "map"])
 
 
-#: Ids up to so many bytes are broadcast to the texts; beyond, texts are shuffled to them.
-BROADCAST_BYTES = 16 << 20
+#: Ids, pairs and labels up to so many bytes are broadcast to texts and sets; beyond, both sides are shuffled.
+BROADCAST_BYTES = 4 << 20
 
 
 def few(df: DataFrame, row_bytes: int = 16) -> DataFrame:
-    """``df``, marked for broadcasting if its rows of some ``row_bytes`` are few: for joins whose other side is whole texts."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """``df``, marked for broadcasting if its rows of some ``row_bytes`` are few: for joins whose other side is wide."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
 def components(edges: DataFrame, tables: checkpoints.Tables) -> DataFrame:
@@ -285,17 +285,21 @@ def merged(labels: DataFrame | None, links: DataFrame, tables: checkpoints.Table
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tables: checkpoints.Tables) -> DataFrame:
     """Of ``pairs`` (a, b) those that are links, by their full sets; few of the bs differ."""
-    hubs = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    hubs = sets.join(few(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
+    hubs = tables.put(hubs.select(F.col("node").alias("b"), F.col("shingles").alias("sb")))
     members = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    met = members.join(pairs, "a").join(hubs, "b")
-    return tables.put(met.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"))
+    # a hub may have very many pairs: both sides are dealt out for this join alone, so Spark can split them
+    met = members.join(few(pairs), "a").join(hubs.hint("merge"), "b")
+    links = tables.put(met.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"))
+    tables.drop(hubs)
+    return links
 
 
 def _members(banded: DataFrame, labels: DataFrame | None) -> DataFrame:
     """band, node, n and the node's label."""
     if labels is None:
         return banded.withColumn("label", F.col("node"))
-    return banded.join(labels.withColumnsRenamed({"label": "found"}), "node", "left").select("band", "node", "n", F.coalesce("found", "node").alias("label"))
+    return banded.join(few(labels).withColumnsRenamed({"label": "found"}), "node", "left").select("band", "node", "n", F.coalesce("found", "node").alias("label"))
 
 
 def _to_hubs(banded: DataFrame, labels: DataFrame | None, draw: Column, percent: int, tables: checkpoints.Tables) -> DataFrame:
@@ -305,7 +309,7 @@ def _to_hubs(banded: DataFrame, labels: DataFrame | None, draw: Column, percent:
     bands = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(drawn).alias("d"))
     hubs = tables.put(bands.filter("lo < hi").select("band", "d.*"))
     alike = (F.col("label") != F.col("hub_label")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    met = members.join(hubs.drop("h"), "band").filter(alike)
+    met = members.join(hubs.drop("h").hint("merge"), "band").filter(alike)
     pairs = tables.put(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     tables.drop(hubs)
     return pairs
@@ -326,12 +330,12 @@ def _across(banded: DataFrame, sets: DataFrame, labels: DataFrame | None, percen
     sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
     bands = sizes.groupBy("band").agg(F.max(F.struct("k", "label"))["label"].alias("most"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("labels"))
     mixed = tables.put(bands.filter("labels > 1").select("band", "most", F.ceil(F.col("size") / BAND_PART).cast("int").alias("parts")))
-    met = members.join(mixed, "band").select("band", "node", "n", "label", "parts", (F.col("label") != F.col("most")).alias("outside"))
+    met = members.join(mixed.hint("merge"), "band").select("band", "node", "n", "label", "parts", (F.col("label") != F.col("most")).alias("outside"))
     met = tables.put(met)
     if not met.filter("outside").limit(1).count():
         return None
-    maps = tables.put(sets.join(met.select("node").distinct(), "node", "left_semi").select("node", "shingles").mapInArrow(_maps, "node long, map array<long>"))
-    mapped = met.join(maps, "node")
+    maps = tables.put(sets.join(few(met.select("node").distinct()), "node", "left_semi").select("node", "shingles").mapInArrow(_maps, "node long, map array<long>"))
+    mapped = met.join(maps.hint("merge"), "node")
     x = mapped.filter("outside").select("band", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", "map", "parts")])
     y = mapped.select("band", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "label", "map", "outside")], F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     # of sizes summing to S, sets that differ in D shingles are linked if 100 * (S - D) >= percent * (S + D)
@@ -343,7 +347,7 @@ def _across(banded: DataFrame, sets: DataFrame, labels: DataFrame | None, percen
         & ((100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("y_n")))
     )
     x = x.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1)))
-    found = y.join(x, (x["band"] == y["band"]) & (F.col("at") == F.col("part")) & alike)
+    found = y.join(x.hint("merge"), (x["band"] == y["band"]) & (F.col("at") == F.col("part")) & alike)
     # a pair is found in every band that it shares
     pairs = tables.put(found.select(F.col("y_node").alias("a"), F.col("x_node").alias("b")).distinct())
     tables.drop(mixed, met, maps)
@@ -369,7 +373,7 @@ def near_duplicates(
     classes = tables.put(copies)
     spread = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = tables.put(spread.groupBy("band").agg(F.count(F.lit(1)).alias("in_band")).filter("in_band > 1").select("band"))
-    banded = tables.put(spread.join(shared, "band", "left_semi").select("band", "node", "n"))
+    banded = tables.put(spread.join(shared.hint("merge"), "band", "left_semi").select("band", "node", "n"))
     tables.drop(shared)
     labels: DataFrame | None = None
     if banded.limit(1).count():
