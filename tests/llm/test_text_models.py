@@ -1,11 +1,13 @@
 import random
+import re
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import language, pieces, quality, toxicity
+from weft.llm import language, pieces, quality, queries, toxicity
 from weft.llm.queries import quality_scores
 
 ODD = [None, "", "   ", "a", "!!", "word " * 30_000]
@@ -54,12 +56,69 @@ def test_quality_scores_are_sparse_dot_products():
         assert got[k] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -35, 35))), rel=1e-5)
 
 
-def test_ftrl_follows_its_closed_form():
-    """With one text the first step is w = -g * alpha / (beta + |g|), up to the penalties."""
-    w, b = quality.ftrl(np.array([3]), np.array([1]), np.array([1.0]), epochs=1)
-    g = -0.5 * 0.5 / (1 - 1e-3)
-    assert b == pytest.approx(-(g + quality.L1) / ((quality.BETA + abs(g)) / quality.ALPHA + quality.L2), rel=1e-9)
-    assert w[3] > 0 and np.count_nonzero(w) == 1
+def plain_features(text):
+    """Weights by position, n-gram by n-gram."""
+    ws = re.findall(r"[^\W_]+|[^\w\s]+|_+", text or "")
+    h = [crc32(w.encode()) * 0x9E3779B1 % 2**32 for w in ws]
+    keys = list(h)
+    for k in range(len(h) - 1):
+        twice = h[k] == h[k + 1] or k + 2 < len(h) and h[k] == h[k + 2]
+        keys.append(None if twice else (h[k] * 0x85EBCA6B + h[k + 1]) * 0xC2B2AE35 % 2**32)
+    places = Counter((quality._TWICE if x is None else x ^ x >> 15) % 2**quality.BITS for x in keys)
+    return {x: quality.SCALE * n / len(keys) for x, n in places.items()}
+
+
+def test_features_are_plain_n_grams():
+    texts = ["one two two", "A a A b", "!! hey?? _x_", "x", " ", "word " * 50, "été ß 漢"]
+    rows = quality.sparse_rows(texts, quality.Hasher(most=2), together=3)
+    for t, (places, weights) in zip(texts, rows):
+        want = plain_features(t)
+        assert dict(zip(places.tolist()[:-1], weights.tolist()[:-1])) == pytest.approx(want)
+        assert places[-1] == 2**quality.BITS and weights[-1] == 1
+
+
+def test_ftrl_is_the_plain_one():
+    """Weight by weight, over several texts and passes."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["good", "bad", "so", "so", "!"], k=rng.randint(1, 9))) for _ in range(25)]
+    y = np.array([float("good" in t) for t in texts])
+    w, b = quality.ftrl(quality.sparse_rows(texts, quality.Hasher()), y, epochs=2)
+    rows = [plain_features(t) | {"b": 1.0} for t in texts]
+    z, n, share = defaultdict(float), defaultdict(float), y.mean()
+
+    def weight(k):
+        if abs(z[k]) <= quality.L1:
+            return 0.0
+        return -(z[k] - np.sign(z[k]) * quality.L1) / ((quality.BETA + np.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            now = {k: weight(k) for k in rows[i]}
+            p = 1 / (1 + np.exp(-sum(now[k] * x for k, x in rows[i].items())))
+            for k, x in rows[i].items():
+                g = (p - y[i]) * x * (0.5 / share if y[i] else 0.5 / (1 - share))
+                sigma = (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / quality.ALPHA
+                z[k] += g - sigma * now[k]
+                n[k] += g * g
+    assert b == pytest.approx(weight("b"), rel=1e-4)
+    assert {k: weight(k) for k in z if k != "b" and weight(k)} == pytest.approx({int(k): w[k] for k in np.flatnonzero(w)}, rel=1e-3, abs=1e-6)
+
+
+def test_registered_quality_query_is_the_plain_model(spark, tmp_path):
+    rows, labels = made(240, seed=3)
+    rows += [(1000, None), (1001, "")]
+    spark.createDataFrame([(i, t, "l", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    truth = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    truth.write.parquet(f"{tmp_path}/labels.parquet")
+    w, b = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), truth.filter(~quality.held_out(F.col("doc_id"), 4, 2)), "quality")
+    got = queries.QUERIES["op3_quality_ftrl"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        z = b + sum(x * float(w[k]) for k, x in plain_features(text[r.doc_id]).items())
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -35, 35))), rel=1e-4)
+        assert r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7)
 
 
 def test_scores_of_odd_texts_and_no_labels(spark):
@@ -121,6 +180,73 @@ def test_toxicity_learns_terms_but_not_copied_texts(spark):
     assert all((got[i] >= 0.5) == bool(t) for i, t in labels)
 
 
+def plain_toxicity(rows, labels):
+    """Terms with rates, and every text's score, from plain counts and edit distances."""
+    text, label = dict(rows), dict(labels)
+    sides = {0: defaultdict(dict), 1: defaultdict(dict)}
+    for i, y in label.items():
+        ws = toxicity._WORD.findall(text[i].lower())
+        for k, (before, w, after) in enumerate(zip(["", *ws[:-1]], ws, [*ws[1:], ""])):
+            sides[y][w][before, after] = 1
+    least = min(8, max(3, sum(label.values()) // 10))
+    rates = {w: len(c) / (len(c) + len(sides[0][w]) + 0.2) for w, c in sides[1].items() if len(c) >= least}
+    known = {w: r for w, r in rates.items() if r >= 0.9} | {w: rates.get(w, 0.9) for w in toxicity.SEEDS}
+    terms = sorted(known)
+
+    def hit(w):
+        near = [(distance(w, t), k) for k, t in enumerate(terms) if distance(w, t) <= toxicity.reach(t)]
+        return min(near) if near else None
+
+    told = defaultdict(lambda: [0, 0])
+    for i, y in label.items():
+        hits = {w: hit(w) for w in set(toxicity._WORD.findall(text[i].lower()))}
+        hits = {w: h for w, h in hits.items() if h}
+        if hits and all(h[0] for h in hits.values()):
+            for w, h in hits.items():
+                told[w, h[0]][y] += 1
+    factors = [1.0]
+    for edits in (1, 2):
+        good, bad = (sum(n[y] for (_, e), n in told.items() if e == edits) for y in (0, 1))
+        factors.append((bad + 1.2) / (bad + good + 2))
+    spared = {w for (w, _), (good, bad) in told.items() if good >= bad and good}
+
+    def score(t):
+        tokens, left = toxicity._MARKED.findall((t or "").lower()), 1.0
+        hits = {w: hit(w) for w in set(tokens) if toxicity._WORD.fullmatch(w) and w not in spared}
+        hits = {w: h for w, h in hits.items() if h}
+        for k, w in enumerate(tokens):
+            if w in hits:
+                left *= 1 - min(0.99, known[terms[hits[w][1]]] * factors[hits[w][0]] * toxicity.context_factor(tokens, k, hits))
+        return 1 - left
+
+    return known, {i: score(t) for i, t in rows}
+
+
+def test_registered_toxicity_query_is_the_plain_model(spark, tmp_path):
+    rng = random.Random(12)
+    long = "w" * 70
+    bad = ["zornak", "blix", "ox", long]
+    word = lambda: "".join(rng.choices("bdgklmn", k=2)) + "".join(rng.choices("aeiou", k=2)) + str(rng.randint(0, 30))
+    rows, labels = [], []
+    for i in range(260):
+        ws = [word() for _ in range(14)]
+        if i % 4 == 0:
+            ws[rng.randrange(14)] = rng.choice(bad)
+            if i % 8 == 0:
+                ws[rng.randrange(14)] = rng.choice(["zornek", "idiott", "stupid"])
+        if i % 9 == 0:
+            ws[3:3] = ["he", "said", '"', rng.choice(["zornac", "idiot"]), '"']
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(i % 4 == 0)))
+    known, scores = plain_toxicity([*rows, (900, None), (901, "")], [(i, y) for i, y in labels if crc32(str(i).encode()) % 5])
+    assert {"zornak", "ox", long} <= known.keys()  # of any length
+    spark.createDataFrame([(i, t, "l", "s", 1) for i, t in [*rows, (900, None), (901, "")]], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.QUERIES["op4_toxicity_lexicon"](spark, str(tmp_path)).collect()
+    assert len(got) == len(scores) and {r.doc_id: r.score for r in got} == pytest.approx(scores)
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in got)
+
+
 def test_clean_copies_and_quotations_do_not_take_terms_out(spark):
     toxic = [(i, f"a{i} zornak b{i} idiot c{i}") for i in range(20)]
     quoting = [(i, f"one{i} said the words \"zornak\" and \"idiot\" to us") for i in range(100, 103)]
