@@ -14,8 +14,11 @@ distance (learned too), times a factor for its context: inside quotation marks
 or after a verb of reporting it counts less, next to a pronoun of address or
 another hit more. A text's score is one minus the product of what its hits leave.
 
-Null and empty texts, and texts without a hit, score 0. Ties and repeated rows
-score alike. Without labels the seeds alone are the lexicon.
+Null and empty texts, and texts without a hit, score 0; so does an empty table's
+every row, as there is none. Ties and repeated rows score alike. Without labels the
+seeds alone are the lexicon. Terms and words may have any length, and very long texts
+are read whole, in an Arrow batch of one row. Only the text is read; an input column
+with the score's name is replaced, all others are kept, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from weft.llm.batches import bound, slices
+from weft.llm import checkpoints
+from weft.llm.batches import SLICE_BYTES, bound, frugal, slices
 from weft.llm.quality import MAX_ROWS, sample_labels
 
 # Insults to start from, verbs that report speech, and pronouns that address someone.
@@ -47,8 +51,6 @@ SEED_RATE = 0.9
 LEAST_CONTEXTS, LEAST_RATE = 8, 0.9
 #: With few labels, a tenth of the toxic texts is enough contexts, but never fewer than this.
 FEWEST_CONTEXTS = 3
-#: Terms that are kept at most, those with the most contexts first.
-MOST_TERMS = 20_000
 #: Words on either side of a hit that are its context.
 WINDOW = 8
 
@@ -146,7 +148,7 @@ class Lexicon:
 class Matcher:
     """Word -> hit, with the words of late remembered."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 200_000):
+    def __init__(self, lexicon: Lexicon, most: int = 50_000):
         self.lexicon, self.most = lexicon, most
         self.automaton = Automaton(lexicon.terms)
         self.known: dict[str, tuple[int, int] | None] = {}
@@ -156,7 +158,7 @@ class Matcher:
         known, find, spared = self.known, self.automaton.find, self.lexicon.spared
         if len(known) > self.most:
             known.clear()
-        if len(self.automaton.sets) > 50_000:  # states are remade on demand
+        if len(self.automaton.sets) > 10_000:  # states are remade on demand
             self.automaton = Automaton(self.lexicon.terms)
             find = self.automaton.find
         found = {}
@@ -204,13 +206,12 @@ def text_score(text: str | None, words: list[str], matcher: Matcher) -> float:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> word, context hash."""
     for whole in batches:
-        for part in slices(whole):
+        for part in slices(whole, most=SLICE_BYTES // 4):  # a word makes an object of its own here
             seen = set()
             for text in part.column(0).to_pylist():
                 ws = _WORD.findall(text.lower()) if text else []
                 for before, w, after in zip(["", *ws[:-1]], ws, [*ws[1:], ""]):
-                    if 2 < len(w) < 64:
-                        seen.add((w, crc32(f"{before} {after}".encode("utf-8", "surrogatepass"))))
+                    seen.add((w, crc32(f"{before} {after}".encode("utf-8", "surrogatepass"))))
             pairs = list(zip(*seen)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.string()), pa.array(pairs[1], pa.int64())], ["word", "context"])
 
@@ -231,16 +232,16 @@ def _weights(text: str) -> list[float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Lexicon:
-    """A lexicon from the documents that ``labels`` names; what reaches the driver is bounded by MOST_TERMS."""
+    """A lexicon from the documents that ``labels`` names, of which it reads about ``max_rows``; what reaches the driver is words of these."""
     bound(docs.sparkSession)
+    tables = checkpoints.Tables(docs.sparkSession)
     picked = sample_labels(labels, label_col, id_col, max_rows)
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "label").persist()
-    texts = lambda label: rows.filter(F.col("label") == label).select(text_col)
-    toxic = texts(1).mapInArrow(_contexts, "word string, context long").distinct().groupBy("word").count()
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id")
+    rows = tables.put(named.select("text", "label"))
+    texts = lambda label: rows.filter(F.col("label") == label).select("text")
+    toxic = texts(1).mapInArrow(frugal(_contexts), "word string, context long").distinct().groupBy("word").count()
     least = min(LEAST_CONTEXTS, max(FEWEST_CONTEXTS, texts(1).count() // 10))
-    toxic = toxic.filter(F.col("count") >= least).withColumnRenamed("count", "bad")
-    bounded = toxic.orderBy(F.col("bad").desc(), "word").limit(10 * MOST_TERMS).collect()
-    bad = {r.word: r.bad for r in bounded}
+    bad = {r["word"]: r["count"] for r in toxic.filter(F.col("count") >= least).collect()}
 
     def clean_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -259,11 +260,10 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
     good: dict[str, float] = {}
     if bad:
-        clean = texts(0).mapInArrow(clean_contexts, "word string, context long, weight double")
+        clean = texts(0).mapInArrow(frugal(clean_contexts), "word string, context long, weight double")
         good = dict(clean.groupBy("word", "context").agg(F.max("weight").alias("weight")).groupBy("word").agg(F.sum("weight")).collect())
     rate = {w: n / (n + good.get(w, 0) + 0.2) for w, n in bad.items()}
-    learned = sorted((w for w in bad if rate[w] >= LEAST_RATE), key=lambda w: (-bad[w], w))[:MOST_TERMS]
-    known = {w: rate[w] for w in learned} | {w: rate.get(w, SEED_RATE) for w in SEEDS}
+    known = {w: r for w, r in rate.items() if r >= LEAST_RATE} | {w: rate.get(w, SEED_RATE) for w in SEEDS}
     terms = tuple(sorted(known))
     first = Lexicon(terms, tuple(known[t] for t in terms), frozenset())
 
@@ -280,11 +280,11 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["word", "edits", "label"])
 
     # texts whose only hits are near misses tell what a near miss is worth, and which words to spare
-    missed = rows.mapInArrow(near, "word string, edits int, label int").groupBy("word", "edits").agg(
+    missed = rows.mapInArrow(frugal(near), "word string, edits int, label int").groupBy("word", "edits").agg(
         F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")
     )
-    told = missed.orderBy(F.col("good").desc(), "word").limit(10 * MOST_TERMS).collect()
-    rows.unpersist()
+    told = missed.collect()
+    tables.drop(rows)
     factors = [1.0]
     for edits in (1, 2):
         n_bad, n_good = (sum(getattr(r, k) for r in told if r.edits == edits) for k in ("bad", "good"))
@@ -307,4 +307,4 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", name: str =
                 got = [text_score(t, _WORD.findall(t.lower()), matcher) if t else 0.0 for t in part.column(where).to_pylist()]
                 yield part.append_column(name, pa.array(got, pa.float64()))
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(name, DoubleType()))
+    return kept.mapInArrow(frugal(run), StructType([*kept.schema.fields]).add(name, DoubleType()))
