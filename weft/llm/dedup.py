@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import checkpoints
-from weft.llm.batches import bound, slices
+from weft.llm.batches import bound, frugal, slices
 
 PERMUTATIONS, BANDS, ROWS, ROUNDS = 64, 25, 5, 2
 
@@ -199,13 +199,13 @@ def _sketch(width: int, with_bands: bool):
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """id, n_shingles, node (fingerprint of the set) and bands (array of BANDS keys; empty for empty sets)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sketch(width, True), f"id {rows.dtypes[0][1]}, n_shingles long, node long, bands array<long>")
+    return rows.mapInArrow(frugal(_sketch(width, True)), f"id {rows.dtypes[0][1]}, n_shingles long, node long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """id, n_shingles, node and shingles: the sorted distinct 64-bit hashes, as bytes."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sketch(width, False), f"id {rows.dtypes[0][1]}, n_shingles long, node long, shingles binary")
+    return rows.mapInArrow(frugal(_sketch(width, False)), f"id {rows.dtypes[0][1]}, n_shingles long, node long, shingles binary")
 
 
 def _confirm(percent: int):
@@ -290,7 +290,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tables: checkpoi
     members = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     # a hub may have very many pairs: both sides are dealt out for this join alone, so Spark can split them
     met = members.join(few(pairs), "a").join(hubs.hint("merge"), "b")
-    links = tables.put(met.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"))
+    links = tables.put(met.select("a", "b", "sa", "sb").mapInArrow(frugal(_confirm(percent)), "a long, b long"))
     tables.drop(hubs)
     return links
 
@@ -334,7 +334,7 @@ def _across(banded: DataFrame, sets: DataFrame, labels: DataFrame | None, percen
     met = tables.put(met)
     if not met.filter("outside").limit(1).count():
         return None
-    maps = tables.put(sets.join(few(met.select("node").distinct()), "node", "left_semi").select("node", "shingles").mapInArrow(_maps, "node long, map array<long>"))
+    maps = tables.put(sets.join(few(met.select("node").distinct()), "node", "left_semi").select("node", "shingles").mapInArrow(frugal(_maps), "node long, map array<long>"))
     mapped = met.join(maps.hint("merge"), "node")
     x = mapped.filter("outside").select("band", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", "map", "parts")])
     y = mapped.select("band", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "label", "map", "outside")], F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructType
 
-from weft.llm.batches import slices
+from weft.llm.batches import bound, frugal, slices
 
 # The element groups of the HTML standard that matter here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -157,7 +157,7 @@ class Sparse(NamedTuple):
 
 class WordSlots(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = slot = _slot("w", word)
         return slot
@@ -466,4 +466,4 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray], html_col: str = "h
                 yield rest.append_column(name, pa.array(texts, pa.string())).append_column("n_chars", pa.array(list(map(len, texts)), pa.int64()))
 
     fields = [f for f in kept.schema.fields if f.name != html_col]
-    return kept.mapInArrow(run, StructType(fields).add(name, StringType()).add("n_chars", LongType()))
+    return kept.mapInArrow(frugal(run), StructType(fields).add(name, StringType()).add("n_chars", LongType()))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from weft.llm import checkpoints
-from weft.llm.batches import slices
+from weft.llm.batches import bound, frugal, slices
 from weft.llm.pieces import LOCKSTEP, PieceTable, WordCache, by_length
 
 MAX_ROWS, SHARDS, ROUNDS = 4_000, 24, 4
@@ -174,6 +174,7 @@ def maximised(sums: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities from rows of ``docs`` with a language."""
     spark = docs.sparkSession
+    bound(spark)
     tables = checkpoints.Tables(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     n = docs.filter(F.col(lang_col).isNotNull()).select(id_col).count()
@@ -190,7 +191,7 @@ def train(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
                 cols = [pa.array(pairs[0], pa.string()), pa.array(pairs[1], pa.string()), pa.array(list(seen.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["lang", "word", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(tally, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "lang").mapInArrow(frugal(tally), "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     # a word has an entry a language at most
     words = tables.put(counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n")).repartition(SHARDS, "word"))
     langs = sorted(r.lang for r in words.select(F.explode(F.map_keys("n")).alias("lang")).distinct().collect())
@@ -209,7 +210,7 @@ def train(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
-        used = words.mapInArrow(step, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        used = words.mapInArrow(frugal(step), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
         sums = np.zeros_like(p)
         sums[used["piece"].to_numpy(), used["lang"].to_numpy()] = used["n"].to_numpy()
         p = maximised(sums)
@@ -221,6 +222,7 @@ def train(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
 def predict(docs: DataFrame, table: PieceTable, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score of each whole text; all columns are kept."""
     langs, p = model
+    bound(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     where = kept.columns.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast((table, p))
@@ -244,4 +246,4 @@ def predict(docs: DataFrame, table: PieceTable, model: tuple[list[str], np.ndarr
                         names[i] = langs[b]
                 yield part.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(shares, pa.float64()))
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
+    return kept.mapInArrow(frugal(run), StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))

@@ -187,7 +187,7 @@ class WordCache:
     ``places`` maps words to rows of ``self.rows``, which grows by doubling.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], most: int = 300_000):
+    def __init__(self, compute: Callable[[list[str]], list], most: int = 100_000):
         self.compute, self.most = compute, most
         self.places: dict[str, int] = {}
         self.results: list = []

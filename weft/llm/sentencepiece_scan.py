@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from weft.llm import checkpoints
-from weft.llm.batches import bound, slices
+from weft.llm.batches import bound, frugal, slices
 from weft.llm.batches import named as column
 from weft.llm.pieces import LOCKSTEP, MARK, Neighbours, PieceTable, by_length
 
@@ -58,7 +58,7 @@ GIANT, CHUNK = 65_536, 8_192
 #: Neighbouring matrices that one step multiplies, and chunks in a task.
 FAN, CHUNKS_A_TASK = 16, 8
 #: Text bytes whose words are looked up together (more of them are equal in a larger slice), and whose ids are put together.
-SLICE, PART = 4 << 20, 1 << 20
+SLICE, PART = 2 << 20, 1 << 20
 
 _SPACED = re.compile(r" +[^ ]*")
 
@@ -253,7 +253,7 @@ def split_between(text: str) -> list[str]:
 class Encoder:
     """Lists of words -> flat ids and their number for each list. Words of late are kept, ``most`` of them."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 100_000):
         if any("\n" in p for p in model.table.ids):
             raise ValueError("a vocabulary with pieces over line ends")
         self.model, self.most = model, most
@@ -349,7 +349,7 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col:
 
     schema = StructType([*kept.schema.fields]).add(ids_col, ArrayType(IntegerType()))
     out = schema.add(check_col, BooleanType()) if check_col else schema
-    done = short.mapInArrow(run, out)
+    done = short.mapInArrow(frugal(run), out)
     width = max(16, table.longest)
     chunk = max(chunk, 2 * width)
     length = F.char_length(text_col)
@@ -419,7 +419,7 @@ def _encode_giants(docs: DataFrame, held, text_col: str, chunk: int, width: int,
 
     schema = "key string, k int, part string, start int, end int, sure_in boolean, sure_out boolean"
     once = keyed.select("key", F.col("row").getField(text_col).alias("text")).dropDuplicates(["key"])
-    parts = tables.put(once.mapInArrow(cut, schema).repartition(-(-n_chunks // CHUNKS_A_TASK), "key", "k"))
+    parts = tables.put(once.mapInArrow(frugal(cut), schema).repartition(-(-n_chunks // CHUNKS_A_TASK), "key", "k"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,7 +427,7 @@ def _encode_giants(docs: DataFrame, held, text_col: str, chunk: int, width: int,
             cols = [batch.column(0), batch.column(1), pa.array(list(map(len, made)), pa.int32()), pa.array([m.astype(np.float32).tobytes() for m in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["key", "k", "entries", "matrix"])
 
-    found = tables.put(parts.mapInArrow(matrices, _MATRIX))
+    found = tables.put(parts.mapInArrow(frugal(matrices), _MATRIX))
     placed = parts.join(scan(found, -(-(longest + 1) // chunk), tables), ["key", "k"])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +449,7 @@ def _encode_giants(docs: DataFrame, held, text_col: str, chunk: int, width: int,
                 made = _list_array(np.concatenate(lists), np.array(list(map(len, lists))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["key", "k", "ids"])
 
-    traced = placed.select(*_PART, "entry", "exit").mapInArrow(follow, "key string, k int, ids array<int>")
+    traced = placed.select(*_PART, "entry", "exit").mapInArrow(frugal(follow), "key string, k int, ids array<int>")
     joined = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("all"))
     done = tables.put(joined.select("key", F.flatten("all.ids").alias("ids")))
     tables.drop_others(done)
@@ -473,4 +473,4 @@ def decode(encoded: DataFrame, table: PieceTable, ids_col: str = "ids", text_col
                 null = lists.is_null().to_pylist()
                 yield part.append_column(text_col, pa.array([None if n else t for t, n in zip(texts, null)], pa.string()))
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(text_col, StringType()))
+    return kept.mapInArrow(frugal(run), StructType([*kept.schema.fields]).add(text_col, StringType()))
