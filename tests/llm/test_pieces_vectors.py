@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weft.llm import neighbours, pieces
+from weft.llm import checkpoints, neighbours, pieces
 from weft.llm import sentencepiece_scan as scan
 
 
@@ -134,27 +134,62 @@ def test_estimates_keep_their_bounds():
     assert outside / 80_000 < 0.02
 
 
-def test_recall_and_odd_vectors(spark):
+def brute(rows, queries, k):
+    """(query id, rank, id, distance) rows by comparing everything; vectors of one length only."""
+    usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    out = []
+    for q, x in usable:
+        if q in queries:
+            near = sorted((float(np.sqrt(np.cumsum((v - x) ** 2)[-1])), i) for i, v in usable if i != q and len(v) == len(x))[:k]
+            out += [(q, r, i, d) for r, (d, i) in enumerate(near, 1)]
+    return sorted(out)
+
+
+def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(9)
-    v = rng.standard_normal((1500, 40)).astype(np.float32)
-    v[500:520] = v[500]  # equal vectors: ties go to the smaller id
-    rows = [(i, x.tolist(), "r") for i, x in enumerate(v)]
-    rows += [(2000, None, ""), (2100, [0.0] * 40, ""), (2200, [float("nan")] * 40, ""), (2300, [None] * 40, ""), (2400, [1.0, 2.0], ""), (2500, [float("inf")] * 40, "")]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
-    got = neighbours.nearest(table, F.col("vec_id") % 100 == 0, block=400, query_block=4).toPandas()
-    assert set(got["query_id"]) == set(range(0, 1500, 100)) and len(got) == 150
-    hit, d = 0, v.astype(float)
+    centres = rng.standard_normal((6, 24)) * 3
+    v = [(centres[i % 6] + rng.standard_normal(24) * 0.4).round(3).tolist() for i in range(900)]
+    v[500:520] = [v[500]] * 20  # equal vectors: ties go to the smaller id
+    rows = list(enumerate(v)) + [(i, x[:7]) for i, x in enumerate(v[:60], 3000)]  # another length
+    rows += [(0, v[0]), (0, v[0]), (100, v[1]), (4, v[4]), (4, v[5])]  # repeated rows, and ids with two vectors
+    odd = [(2000, None), (2100, [0.0] * 24), (2200, [float("nan")] * 24), (2300, [None] * 24), (2500, [float("inf")] * 24), (2600, []), (None, v[3])]
+    table = spark.createDataFrame([(i, x, "r", "c", 1) for i, x in rows + odd], "vec_id long, embedding array<double>, rank string, cell string, key int").repartition(5)
+    for block, query_block, cell_rows in ((400, 4, 100), (50, 2, 30), (8192, 2048, 10**6)):
+        got = neighbours.nearest(table, F.col("vec_id") % 100 == 0, block=block, query_block=query_block, cell_rows=cell_rows).collect()
+        want = brute(rows, set(range(0, 4000, 100)), 10)
+        assert len(got) == len(want)
+        found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got)
+        assert sum(a[:3] == b[:3] for a, b in zip(found, want)) / len(want) > 0.99
+        assert np.allclose([r[3] for r in found], [r[3] for r in want], rtol=1e-9)
+
+
+def test_cells_that_cannot_hold_a_neighbour_are_left_out(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((2000, 8)) + np.repeat(np.eye(8)[:5] * 40, 400, axis=0)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    written, put = {}, checkpoints.Tables.put
+
+    def watched(self, df):
+        read = put(self, df)
+        written[tuple(df.columns)] = read.count()
+        return read
+
+    monkeypatch.setattr(checkpoints.Tables, "put", watched)
+    got = neighbours.nearest(table, F.col("vec_id") % 100 == 0, cell_rows=200).toPandas()
+    assert len(got) == 200
     for q, part in got.groupby("query_id"):
-        exact = np.sqrt(((d - d[q]) ** 2).sum(axis=1))
-        exact[q] = np.inf
-        want = np.lexsort((np.arange(1500), exact))[:10]
-        hit += len(set(want) & set(part["vec_id"]))
-        part = part.sort_values("rank")
-        assert list(part["rank"]) == list(range(1, 11)) and np.allclose(part["score"], exact[part["vec_id"]], rtol=1e-12)
-        if q == 500:
-            assert list(part["vec_id"]) == list(range(501, 511))
-    assert hit / 150 >= 0.95
-    few = neighbours.nearest(table.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
-    assert [r.rank for r in sorted(few)] == [1, 2]
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert set(part["vec_id"]) == set(np.argsort(d)[:10])
+    # 20 queries and 10 cells: beyond its own cell a query goes to those of its own group at most
+    assert written["id", "asks", "v", "dim", "cell", "far", "code", "own"] == 2000
+    assert written["id", "key", "v", "dim", "cell"] <= 20 * 4
+
+
+def test_few_rows_and_empty_tables(spark):
+    table = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(3)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(table, F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == [(1, 1), (2, 2)]
     assert neighbours.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
     assert neighbours.nearest(table, F.lit(False)).count() == 0
+    assert neighbours.nearest(table, F.lit(None).cast("boolean")).count() == 0
