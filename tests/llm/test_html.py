@@ -1,7 +1,12 @@
+import math
+import re
+import time
+from zlib import crc32
+
 import numpy as np
 import pytest
 
-from weft.llm import html
+from weft.llm import html, queries
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +69,60 @@ def test_pages_are_whole_and_order_of_batches_does_not_matter(spark, weights):
     assert {(1, ""), (2, ""), (3, want)} <= out and got.count() == 5
     assert all(r.n_chars == len(r.text) for r in got.collect())
     assert html.extract(pages.limit(0), weights).count() == 0
+
+
+def test_only_svg_and_math_close_themselves():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("<script src='a.js'/>var a=1;</script><p>x</p>") == ["x"]
+    assert texts("<style/>p{}</style><p>x</p><title/>t</title>") == ["x"]
+    assert texts("<svg/><p>x</p><math/>y") == ["x", "y"]
+
+
+def test_deep_pages_take_time_in_proportion():
+    def took(n):
+        page = "<div class=c>" * n + "".join(f"<p>{i}</p></div></b></ul>" for i in range(n))
+        began = time.process_time()
+        assert len(html.blocks(page)) == n
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 16 * max(0.05, took(2_000))
+
+
+def plain_label(w, page):
+    """Every block's probability, number by number."""
+    sig = lambda x: 1 / (1 + math.exp(-min(30, max(-30, x))))
+    xs = []
+    for i, b in enumerate(page):
+        ws = re.findall(r"\w+", b.text.lower())
+        slots = [crc32(f"w:{x}".encode()) % html.ROWS for x in ws]
+        marks = sum(b.text.count(c) for c in ".,;:!?")
+        sums = lambda table, at: [sum(float(table[k][j]) for k in at) for j in range(table.shape[1])]
+        numbers = [math.log1p(len(ws)) / 4, math.log1p(len(b.text)) / 6, b.linked, marks / (len(ws) + 1), b.tag in ("h1", "h2", "h3"), min(b.depth, 20) / 10, i / len(page), (len(page) - i) / len(page)]
+        xs.append(sums(w["path"], b.path) + sums(w["named"], b.named) + [s / max(1, len(ws)) for s in sums(w["words"], slots)] + [float(x) for x in numbers])
+
+    def lstm(seq, d):
+        n, h, c, out = html.HIDDEN, [0.0] * html.HIDDEN, [0.0] * html.HIDDEN, []
+        wi, u, b = w["w" + d].tolist(), w["u" + d].tolist(), w["b" + d].tolist()
+        for x in seq:
+            z = [b[j] + sum(a * r[j] for a, r in zip(x, wi)) + sum(a * r[j] for a, r in zip(h, u)) for j in range(4 * n)]
+            c = [sig(z[n + j]) * c[j] + sig(z[j]) * math.tanh(z[3 * n + j]) for j in range(n)]
+            h = [sig(z[2 * n + j]) * math.tanh(c[j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    ahead, back = lstm(xs, "f"), lstm(xs[::-1], "b")[::-1]
+    return [sig(float(w["bias"][0]) + sum(a * float(v) for a, v in zip(f + r + x, w["out"]))) for f, r, x in zip(ahead, back, xs)]
+
+
+def test_registered_query_is_the_plain_network(spark, weights, tmp_path):
+    made = [p for p, _ in html.training_pages(12, seed=41)] + [None, "", "<p>one", "no markup", "<div>" * 300 + "deep"]
+    rows = [(i, f"http://a/{i}", p) for i, p in enumerate(made)] + [(1, "again", made[1])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES["op1_html_blocks"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        page = html.blocks(made[r.page_id])
+        p = plain_label(weights, page)
+        assert p == pytest.approx(html.label(weights, [page], html.WordSlots())[0].tolist(), abs=1e-9)
+        assert r.text == " ".join(b.text for b, x in zip(page, p) if x >= 0.5) and r.n_chars == len(r.text)

@@ -13,16 +13,21 @@ many layouts (``training_pages``), so it needs no labelled table; its weights
 have a fixed size and are broadcast. Scripts, styles, comments, heads and markup
 are no text and never reach it.
 
-Null and empty pages have the text ''. Broken markup is read as far as it goes:
-a tag that never ends is dropped, an unclosed script takes the rest of the page.
-Repeated rows give equal texts; pages of any length are labelled whole.
+Null and empty pages have the text ''; an empty table gives an empty result. Broken
+markup is read as far as it goes: a tag that never ends is dropped, an unclosed
+script takes the rest of the page. Repeated rows give equal texts; pages of any
+length and depth are labelled whole, in time that follows their length. The html
+column goes and those with the results' names are replaced; all others are kept and
+never read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 from typing import NamedTuple
 from zlib import crc32
@@ -38,6 +43,7 @@ from weft.llm.batches import bound, frugal, slices
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template head title iframe svg object canvas audio video math".split())
+CLOSED_BY_SLASH = frozenset("svg math".split())
 CLOSED_BY_SELF = frozenset("p li dt dd tr td th option".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^>]*(?:>|$)", re.S)
@@ -64,26 +70,42 @@ def _slot(kind: str, word: str) -> int:
     return crc32(f"{kind}:{word}".encode("utf-8", "surrogatepass")) % ROWS
 
 
+class Place(NamedTuple):
+    """An element by its path from the root; slots are few, so their sets stay small at any depth."""
+
+    path: frozenset[int]
+    named: frozenset[int]
+    tag: str
+    two: str
+    depth: int
+
+    def child(self, tag: str, names: tuple[int, ...]) -> "Place":
+        two = f"{self.tag}>{tag}" if self.depth else tag
+        own = _slot("p", tag)
+        return Place(self.path if own in self.path else self.path | {own}, self.named.union(names) if names else self.named, tag, two, self.depth + 1)
+
+    def features(self) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        return tuple(sorted(self.path | {_slot("leaf", self.tag), _slot("two", self.two)})), tuple(sorted(self.named))
+
+
 def blocks(page: str | None) -> list[Block]:
-    """A page's leaf blocks in order."""
+    """A page's leaf blocks in order, in time that follows its length."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[int] = [0]  # places of the open elements
+    places, known = [Place(frozenset(), frozenset(), "", "", 0)], {}
+    features: dict[int, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+    held: Counter[str] = Counter()  # open elements by name
     parts: list[str] = []
     linked = links = 0
-    seen: dict[tuple, tuple] = {}
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            key = tuple(stack)
-            if key not in seen:
-                tags = [t for t, _ in stack if t not in INLINE]
-                path = {_slot("p", t) for t in tags} | {_slot("leaf", tags[-1] if tags else ""), _slot("two", ">".join(tags[-2:]))}
-                named = {n for _, ns in stack for n in ns}
-                seen[key] = tuple(sorted(path)), tuple(sorted(named)), tags[-1] if tags else "", len(tags)
-            path, named, tag, depth = seen[key]
-            out.append(Block(text, path, named, min(1.0, linked / len(text)), tag, depth))
+            at = stack[-1]
+            if at not in features:
+                features[at] = places[at].features()
+            out.append(Block(text, *features[at], min(1.0, linked / len(text)), places[at].tag, places[at].depth))
         parts, linked = [], 0
 
     def take(raw: str) -> None:
@@ -93,6 +115,11 @@ def blocks(page: str | None) -> list[Block]:
         if links:
             linked += len(text.strip())
 
+    def leave() -> str:
+        name = places[stack.pop()].tag
+        held[name] -= 1
+        return name
+
     page, at = page or "", 0
     while at < len(page):
         m = _TAG.search(page, at)
@@ -106,13 +133,13 @@ def blocks(page: str | None) -> list[Block]:
             continue
         closing, name = bool(m[1]), m[2].lower()
         if name in SKIPPED and not closing:
-            if name not in ("head",) and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(page, at)
-                at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
-            elif name == "head":
+            if name == "head":
                 end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
                 if end:
                     at = end.start()
+            elif not (name in CLOSED_BY_SLASH and m[3].endswith("/")):
+                end = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(page, at)
+                at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
             continue
         if name == "br" or name == "wbr":
             parts.append(" " if name == "br" else "")
@@ -125,17 +152,21 @@ def blocks(page: str | None) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            if any(t == name for t, _ in stack):
-                while stack.pop()[0] != name:
+            if held[name]:
+                while leave() != name:
                     pass
             links = 0
             continue
-        if name in CLOSED_BY_SELF and stack and stack[-1][0] == name:
-            stack.pop()
-        elif stack and stack[-1][0] == "p":
-            stack.pop()  # a block-level element ends a paragraph
+        above = places[stack[-1]].tag
+        if above == "p" or name in CLOSED_BY_SELF and above == name:  # a block-level element ends a paragraph
+            leave()
         names = [w.lower() for x in _NAMES.findall(m[3]) for w in _PARTS.findall(x[0] or x[1] or x[2])] if m[3] else []
-        stack.append((name, tuple(_slot("n", w) for w in names)))
+        key = stack[-1], name, tuple(_slot("n", w) for w in names)
+        if key not in known:
+            known[key] = len(places)
+            places.append(places[stack[-1]].child(*key[1:]))
+        stack.append(known[key])
+        held[name] += 1
     flush()
     return out
 
@@ -391,8 +422,9 @@ def training_pages(n: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
     return pages
 
 
+@cache
 def train(pages: int = 1_500, epochs: int = 8, seed: int = 5) -> dict[str, np.ndarray]:
-    """The network's weights; the same for the same arguments."""
+    """The network's weights; the same for the same arguments, and made once in a session."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape, s=0.1: rng.standard_normal(shape) * s
     w = {"path": draw(ROWS, PATH), "named": draw(ROWS, NAMED, s=0.02), "words": draw(ROWS, WORDS, s=0.02), "out": draw(2 * HIDDEN + WIDTH), "bias": np.zeros(1)}
@@ -451,6 +483,7 @@ def _gradients(w: dict, lengths: np.ndarray, s: Sparse, y: np.ndarray) -> dict[s
 
 def extract(pages: DataFrame, weights: dict[str, np.ndarray], html_col: str = "html", name: str = "text") -> DataFrame:
     """``pages`` without the markup, with the article's text and n_chars, its code points; all other columns are kept."""
+    bound(pages.sparkSession)
     kept = pages.drop(name, "n_chars") if name != html_col else pages.drop("n_chars")
     where = kept.columns.index(html_col)
     held = pages.sparkSession.sparkContext.broadcast(weights)
