@@ -78,6 +78,7 @@ def test_plan_does_not_grow_with_the_blocks():
 
 def test_mixture_keeps_all_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 50)
+    monkeypatch.setattr(mixing, "RANGE", 3)
     sizes = {"a": 400, "b": 90, None: 33, "": 1}
     rows = [(i * 10 + k, s, "x") for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
     rows += [rows[0], (None, "b", "y")]

@@ -51,7 +51,9 @@ from pyspark.sql import functions as F
 from weft.llm import checkpoints
 from weft.llm.batches import named as column
 
-BLOCK, BUCKET = 16, 20_000
+BLOCK, BUCKET = 16, 2_000
+#: Buckets of a source that are summed up together before ranges of them are.
+RANGE = 1_000
 #: Slots of a period at most, and the largest of the weights that follow from sizes.
 MOST_SLOTS, FINENESS = 1 << 20, 100
 #: Bytes of the plan that are broadcast at most; a larger one is joined by shuffling.
@@ -165,8 +167,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = No
     planned = plan([-(-sizes[s] // block) for s in sources], target)
 
     # where each bucket's rows begin in their source
-    order = Window.partitionBy("source").orderBy("bucket")
-    starts = counts.withColumn("begin", F.sum("n").over(order) - F.col("n")).drop("n")
+    starts = counts.withColumn("range", F.floor(F.col("bucket") / F.lit(RANGE)))
+    ranges = starts.groupBy("source", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("source", "range", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("first"))
+    before = F.sum("n").over(Window.partitionBy("source", "range").orderBy("bucket")) - F.col("n")
+    starts = starts.withColumn("before", before).join(ranges, ["source", "range"]).select("source", "bucket", (F.col("first") + F.col("before")).alias("begin"))
     within = Window.partitionBy("source", "bucket").orderBy("hash", "tie")
     numbered = rows.withColumn("k", F.row_number().over(within) - 1).drop("hash", "tie").join(starts, ["source", "bucket"])
     numbered = numbered.select("source", "row", (F.col("begin") + F.col("k")).alias("k"))
