@@ -28,13 +28,17 @@ def brute(url, rules, default="allow"):
 def test_like_trying_every_rule(spark, monkeypatch, inline):
     if not inline:
         monkeypatch.setattr(urls, "INLINE_RULES", 0)
-    rows = [(i, u, "x", "y") for i, u in enumerate([*URLS, *URLS[5:8]])]
-    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
-    got = urls.filter_urls(pages, HOST_RULES + PAGE_RULES)
-    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
-    for r in got.collect():
-        assert (r.host, r.path, r.rule, r.verdict) == brute(r.url, HOST_RULES + PAGE_RULES), r
-    assert got.count() == len(rows)
+    clash = ["_target", "_tokens", "_won", "target", "tokens", "won", "row", "asked", "token", "a.b"]
+    rows = [(i, u, "x", "y", *clash) for i, u in enumerate([*URLS, *URLS[5:8]])]
+    pages = spark.createDataFrame(rows, ", ".join(["page_id long, url string, host string, verdict string", *(f"`{c}` string" for c in clash)]))
+    tokenless = [urls.Rule("many", "*in?x", "block"), urls.Rule("x", "x.n*", "block", 2)]
+    for rules in (HOST_RULES + PAGE_RULES, HOST_RULES + tokenless, tokenless, []):
+        got = urls.filter_urls(pages, rules)
+        assert got.columns == ["page_id", "url", *clash, "host", "path", "rule", "verdict"]
+        for r in got.collect():
+            assert (r.host, r.path, r.rule, r.verdict) == brute(r.url, rules), r
+            assert [r[c] for c in clash] == clash
+        assert got.count() == len(rows)
 
 
 def test_rules_are_filed_under_whole_and_rare_tokens(spark):

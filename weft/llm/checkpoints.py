@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
-
-    Where none is set, a local session (tests) gets a temporary folder; on a
-    cluster that is an error, as other machines would not see it.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if not given and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="weft-"))
-    return context.getCheckpointDir()
+from weft.sources.shared import shared_folder as folder
 
 
 class Tables:

@@ -8,9 +8,11 @@ least often. A URL's own tokens fetch the rules filed under them, and only those
 rules run their regular expression. All of it is DataFrame functions.
 
 Nulls and odd input: a null URL, or one without ``://``, has an empty host and
-path, fits no rule and gets the default verdict. Repeated rows are judged alike.
-Columns that the operator does not need are dropped, so clashing names cannot
-hurt.
+path, fits no rule and gets the default verdict. Repeated rows are judged alike;
+of rules that tie in all else the larger pattern wins. An empty table, and an empty
+list of rules, are fine; URLs of any length are read whole. Input columns host, path,
+rule and verdict are replaced; all others are kept whatever their names, as rows
+travel packed.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm.batches import named as column
+
 #: Up to so many rules live in the plan as literals; beyond, rules are joined by token.
 INLINE_RULES = 256
 
@@ -105,18 +109,9 @@ def rarest_tokens(urls: DataFrame, rules: Sequence[Rule], url_col: str = "url")
     return filed
 
 
-def _winner(fits: Column) -> Column:
-    """The fitting rule that wins; fits is an array of (rank, length, name, verdict)."""
-    return F.array_max(fits)
-
-
-def _inline(urls: DataFrame, rules: Sequence[Rule], filed: dict[str, list[int]], url_col: str) -> DataFrame:
-    keys = sorted(filed)
-    index = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in keys]),
-        F.array(*[F.array(*[F.lit(i) for i in filed[k]]) for k in keys]),
-    )
-    table = F.array(
+def _table(rules: Sequence[Rule]) -> Column:
+    """The rules as an array of (rank, length, name, verdict, regex)."""
+    return F.array(
         *[
             F.struct(
                 F.lit(r.rank).alias("rank"),
@@ -128,48 +123,64 @@ def _inline(urls: DataFrame, rules: Sequence[Rule], filed: dict[str, list[int]],
             for r in rules
         ]
     )
-    always = F.array(F.lit(""))
+
+
+def _best(rules: Column) -> Column:
+    """Of an array of rules the one that wins among those that fit ``target``."""
+    return F.array_max(F.filter(rules, lambda r: F.rlike(F.col("target"), r["regex"])))
+
+
+def _inline(urls: DataFrame, rules: Sequence[Rule], filed: dict[str, list[int]]) -> DataFrame:
+    """(url, row) with the winning rule."""
+    keys = sorted(filed)
+    index = F.map_from_arrays(
+        F.array(*[F.lit(k) for k in keys]),
+        F.array(*[F.array(*[F.lit(i) for i in filed[k]]) for k in keys]),
+    )
+    table = _table(rules)
     fetched = F.flatten(
         F.filter(
-            F.transform(F.array_distinct(F.concat(F.col("_tokens"), always)), lambda t: F.try_element_at(index, t)),
+            F.transform(F.array_distinct(F.concat(F.col("tokens"), F.array(F.lit("")))), lambda t: F.try_element_at(index, t)),
             lambda x: x.isNotNull(),
         )
     )
-    fits = F.filter(F.transform(fetched, lambda i: F.get(table, i)), lambda r: F.rlike(F.col("_target"), r["regex"]))
-    return (
-        urls.withColumn("_target", _target(F.col(url_col)))
-        .withColumn("_tokens", F.coalesce(_tokens(F.col("_target")), F.array().cast("array<string>")))
-        .withColumn("_won", _winner(fits))
-        .drop("_target", "_tokens")
-    )
+    with_tokens = urls.withColumn("target", _target(F.col("url"))).withColumn("tokens", F.coalesce(_tokens(F.col("target")), F.array().cast("array<string>")))
+    return with_tokens.select("url", "row", _best(F.transform(fetched, lambda i: F.get(table, i))).alias("won"))
+
 
+def _joined(urls: DataFrame, rules: Sequence[Rule], filed: dict[str, list[int]]) -> DataFrame:
+    """For large rule sets: distinct URLs meet the rules by token, and what wins returns by URL.
 
-def _joined(urls: DataFrame, rules: Sequence[Rule], filed: dict[str, list[int]], url_col: str) -> DataFrame:
-    """For large rule sets: distinct URLs meet the rules by token, and the verdicts return by URL."""
+    Rules without a token would meet every URL under one key, so they are read beside.
+    """
     spark: SparkSession = urls.sparkSession
-    filed_at = {i: t for t, found in filed.items() for i in found}
     index = spark.createDataFrame(
-        [(filed_at[i], r.rank, len(r.name), r.name, r.verdict, r.regex()) for i, r in enumerate(rules)],
+        [(t, r.rank, len(r.name), r.name, r.verdict, r.regex()) for t, found in filed.items() if t for r in (rules[i] for i in found)],
         "token string, rank int, length int, name string, verdict string, regex string",
     )
-    distinct = urls.select(F.col(url_col).alias("_url")).filter(F.col("_url").isNotNull()).distinct()
-    asked = distinct.select("_url", _target(F.col("_url")).alias("_target")).select(
-        "_url", "_target", F.explode(F.concat(_tokens(F.col("_target")), F.array(F.lit("")))).alias("token")
-    )
-    fits = asked.join(index, "token").filter(F.rlike("_target", F.col("regex")))
-    won = fits.groupBy("_url").agg(F.max(F.struct("rank", "length", "name", "verdict")).alias("_won"))
-    return urls.join(won, urls[url_col] == won["_url"], "left").drop("_url")
+    distinct = urls.filter(F.col("url").isNotNull()).select(F.col("url").alias("asked")).distinct().withColumn("target", _target(F.col("asked")))
+    asked = distinct.select("asked", "target", F.explode(_tokens(F.col("target"))).alias("token"))
+    fits = asked.join(index, "token").filter(F.rlike("target", F.col("regex")))
+    won = fits.groupBy("asked").agg(F.max(F.struct("rank", "length", "name", "verdict", "regex")).alias("won"))
+    met = urls.join(won, urls["url"] == won["asked"], "left").withColumn("target", _target(F.col("url")))
+    always = [rules[i] for i in filed.get("", [])]
+    best = F.array_max(F.array_compact(F.array("won", _best(_table(always))))) if always else F.col("won")
+    return met.select("url", "row", best.alias("won"))
 
 
 def filter_urls(urls: DataFrame, rules: Sequence[Rule], default: str = "allow", url_col: str = "url") -> DataFrame:
     """``urls`` with host, path, rule (the name of the winning rule or null) and verdict."""
-    filed = rarest_tokens(urls, rules, url_col)
-    judge = _inline if len(rules) <= INLINE_RULES else _joined
-    won = judge(urls, rules, filed, url_col)
+    if not rules:
+        filed, judge = {}, None
+    else:
+        filed = rarest_tokens(urls, rules, url_col)
+        judge = _inline if len(rules) <= INLINE_RULES else _joined
+    packed = urls.select(F.col(url_col).alias("url"), F.struct(*map(column, urls.columns)).alias("row"))
+    won = judge(packed, rules, filed) if judge else packed.withColumn("won", F.lit(None).cast("struct<name: string, verdict: string>"))
     return won.select(
-        *[won[c] for c in urls.columns if c not in ("host", "path", "rule", "verdict")],
-        host_of(F.col(url_col)).alias("host"),
-        path_of(F.col(url_col)).alias("path"),
-        F.col("_won.name").alias("rule"),
-        F.coalesce(F.col("_won.verdict"), F.lit(default)).alias("verdict"),
+        *[F.col("row").getField(c).alias(c) for c in urls.columns if c not in ("host", "path", "rule", "verdict")],
+        host_of(F.col("url")).alias("host"),
+        path_of(F.col("url")).alias("path"),
+        F.col("won.name").alias("rule"),
+        F.coalesce(F.col("won.verdict"), F.lit(default)).alias("verdict"),
     )
