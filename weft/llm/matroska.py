@@ -5,9 +5,12 @@ with any of the four lacings, and cues; every packet gets its track, time stamp,
 cluster and byte range. The writer stores a payload as 8-bit mono PCM and uses
 fixed-size lacing for equal frames and EBML lacing for the last, uneven ones.
 
-Empty and null texts become one block of zero bytes (64); equal texts give equal
-files, as nothing in a file depends on time or place. A damaged file raises
-``ValueError`` in ``parse``; the packet table marks it instead of failing.
+Empty and null texts become one block of zero bytes (64); equal texts and repeated
+rows give equal files, as nothing in a file depends on time or place. Texts of any
+length are stored whole, one in a task's memory at a time beside a slice of bounded
+size. A damaged file raises ``ValueError`` in ``parse``; the packet table marks it
+instead of failing. An empty table gives an empty result. Only the id and the text are
+read and nothing else is returned, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.llm.batches import slices
+from weft.llm.batches import bound, frugal, slices
 
 # Element ids of the public Matroska specification.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -316,8 +319,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 cols = [part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_bytes", "media"])
 
+    bound(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    made = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+    made = docs.select(id_col, text_col).mapInArrow(frugal(run), f"id {kind}, n_bytes long, media binary")
     return made.withColumnRenamed("id", id_col)
 
 
@@ -340,7 +344,7 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
     kind = dict(media.dtypes)[id_col]
     schema = f"id {kind}, packet long, cluster long, block long, track long, timestamp long, key boolean, start long, end long, error string"
-    return media.select(id_col, media_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return media.select(id_col, media_col).mapInArrow(frugal(run), schema).withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,6 +375,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 kinds = [part.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
+    bound(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), schema).withColumnRenamed("id", id_col)
