@@ -419,7 +419,8 @@ def _encode_giants(docs: DataFrame, held, text_col: str, chunk: int, width: int,
 
     schema = "key string, k int, part string, start int, end int, sure_in boolean, sure_out boolean"
     once = keyed.select("key", F.col("row").getField(text_col).alias("text")).dropDuplicates(["key"])
-    parts = tables.put(once.mapInArrow(frugal(cut), schema).repartition(-(-n_chunks // CHUNKS_A_TASK), "key", "k"))
+    n_tasks = -(-n_chunks // CHUNKS_A_TASK)
+    parts = tables.put(once.mapInArrow(frugal(cut), schema).repartition(n_tasks, "key", "k"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,21 +436,21 @@ def _encode_giants(docs: DataFrame, held, text_col: str, chunk: int, width: int,
         encoder = Encoder(model)
         for whole in batches:
             for batch in slices(whole, 2, SLICE):
-                lists = []
-                for r in batch.to_pylist():
-                    text, start, end = r["part"], r["start"], r["end"]
-                    sure = sure_places(text, start, end)
-                    if sure is None:
-                        lists.append(np.array(trace(model, text, start, end, r["sure_in"], r["sure_out"], r["entry"], r["exit"]), np.int32))
+                rows = batch.to_pylist()
+                sure = [sure_places(r["part"], r["start"], r["end"]) for r in rows]
+                between, counts = encoder([split_between(r["part"][p[0] : p[1]]) if p else [] for r, p in zip(rows, sure)])
+                lists = np.split(between, np.cumsum(counts)[:-1])
+                for i, (r, p) in enumerate(zip(rows, sure)):
+                    if p is None:
+                        lists[i] = np.array(trace(model, *(r[x] for x in [*_PART][2:]), r["entry"], r["exit"]), np.int32)
                         continue
-                    before = trace(model, text, start, sure[0], r["sure_in"], True, r["entry"])
-                    behind = trace(model, text, sure[1], end, True, r["sure_out"], 0, r["exit"])
-                    between, _ = encoder([split_between(text[sure[0] : sure[1]])])
-                    lists.append(np.concatenate([np.array(before, np.int32), between, np.array(behind, np.int32)]))
+                    before = trace(model, r["part"], r["start"], p[0], r["sure_in"], True, r["entry"])
+                    behind = trace(model, r["part"], p[1], r["end"], True, r["sure_out"], 0, r["exit"])
+                    lists[i] = np.concatenate([np.array(before, np.int32), lists[i], np.array(behind, np.int32)])
                 made = _list_array(np.concatenate(lists), np.array(list(map(len, lists))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["key", "k", "ids"])
 
-    traced = placed.select(*_PART, "entry", "exit").mapInArrow(frugal(follow), "key string, k int, ids array<int>")
+    traced = placed.select(*_PART, "entry", "exit").repartition(n_tasks, "key", "k").mapInArrow(frugal(follow), "key string, k int, ids array<int>")
     joined = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("all"))
     done = tables.put(joined.select("key", F.flatten("all.ids").alias("ids")))
     tables.drop_others(done)
