@@ -129,7 +129,7 @@ def test_estimates_keep_their_bounds():
     assert codes.shape == (4000, 2) and codes.dtype == np.uint64
     outside = 0
     for q in v[:20]:
-        square, error = neighbours.estimates(codes, length, own, q, centre)
+        square, error = neighbours.estimates(codes, length, own, (q - centre) @ neighbours.rotation(96))
         outside += (np.abs(square - ((v - q) ** 2).sum(axis=1)) > error).sum()
     assert outside / 80_000 < 0.02
 
@@ -183,7 +183,7 @@ def test_cells_that_cannot_hold_a_neighbour_are_left_out(spark, monkeypatch):
         assert set(part["vec_id"]) == set(np.argsort(d)[:10])
     # 20 queries and 10 cells: beyond its own cell a query goes to those of its own group at most
     assert written["id", "asks", "v", "dim", "cell", "far", "code", "own"] == 2000
-    assert written["id", "key", "v", "dim", "cell"] <= 20 * 4
+    assert written["id", "key", "v", "dim", "cell", "reach"] <= 20 * 4
 
 
 def test_few_rows_and_empty_tables(spark):

@@ -46,7 +46,7 @@ from weft.llm.batches import bound, frugal
 
 BLOCK, QUERY_BLOCK, SAMPLE = 8_192, 2_048, 8_000
 #: Rows in a cell on average, cells at most, and rounds of k-means.
-CELL_ROWS, MOST_CELLS, ROUNDS = 256, 256, 8
+CELL_ROWS, MOST_CELLS, ROUNDS = 2_048, 256, 8
 #: How many standard deviations of the code's error the bounds take.
 EPSILON = 2.5
 QUERY_BITS = 4
@@ -71,12 +71,11 @@ def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64), length, np.where(length > 0, own, 1.0)
 
 
-def estimates(codes: np.ndarray, length: np.ndarray, own: np.ndarray, query: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated squared distances of one query to all codes, and the errors' bounds."""
-    dim = len(query)
-    rest = query - centre
+def estimates(codes: np.ndarray, length: np.ndarray, own: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated squared distances of one query to all codes, and the errors' bounds; ``rest`` is the query less the centre, turned."""
+    dim = len(rest)
     far = float(np.linalg.norm(rest))
-    turned = (rest / far if far else rest) @ rotation_of(dim)
+    turned = rest / far if far else rest
     low, step = turned.min(), (turned.max() - turned.min()) / ((1 << QUERY_BITS) - 1) or 1.0
     levels = np.clip(np.rint((turned - low) / step), 0, (1 << QUERY_BITS) - 1).astype(np.uint8)
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
@@ -103,18 +102,19 @@ def rotation_of(dim: int) -> np.ndarray:
     return _ROTATIONS[dim]
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray, centre: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact distances of a block's k nearest to one query, by its bounds, nearest first, ties to smaller ids."""
-    square, error = estimates(codes, length, own, query, centre)
+def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray, query_id: int, query: np.ndarray, rest: np.ndarray, k: int, reach: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact distances of a block's k nearest to one query within ``reach``, by its bounds, nearest first, ties to smaller ids."""
+    square, error = estimates(codes, length, own, rest)
     other = ids != query_id
     upper = np.where(other, square + error, np.inf)
-    worst = np.partition(upper, k - 1)[k - 1] if len(ids) > k else np.inf
+    worst = min(np.partition(upper, k - 1)[k - 1] if len(ids) > k else np.inf, reach * reach * (1 + 1e-9))
     picked = np.flatnonzero(other & (square - error <= worst))
     apart, exact = vectors[picked] - query, np.zeros(len(picked))
     for i in range(len(query)):  # summed in the order of the coordinates, so that a distance is the same in any block
         exact += apart[:, i] * apart[:, i]
     exact = np.sqrt(exact)
     order = np.lexsort((ids[picked], exact))[:k]
+    order = order[exact[order] <= reach]
     return ids[picked][order], exact[order]
 
 
@@ -188,12 +188,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
     asked = tables.put(asked)
 
     def searched(visits: DataFrame) -> DataFrame:
-        """The k nearest within every part of the cells that queries visit: (id, key, v, dim, cell) -> _FOUND."""
+        """The k nearest, if within reach, of every part of the cells that queries visit: (id, key, v, dim, cell, reach) -> _FOUND."""
         asks = {(r["dim"], r["cell"]): r["count"] for r in visits.groupBy("dim", "cell").count().collect()}
         busy = [(r["dim"], r["cell"], -(-r["n"] // block), -(-asks[r["dim"], r["cell"]] // query_block)) for r in cells if (r["dim"], r["cell"]) in asks]
         shape = F.broadcast(spark.createDataFrame(busy, "dim int, cell int, parts int, blocks int"))
         data = placed.join(shape, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64(F.lit("part"), "id", "v"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", F.lit(0).cast("long").alias("key"), F.lit(False).alias("asks"), "v", "far", "code", "own")
-        queries = visits.join(shape, ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64(F.lit("block"), "id", "key"), "blocks").cast("int").alias("block"), "id", "key", F.lit(True).alias("asks"), "v", F.lit(0.0).alias("far"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("own"))
+        queries = visits.join(shape, ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64(F.lit("block"), "id", "key"), "blocks").cast("int").alias("block"), "id", "key", F.lit(True).alias("asks"), "v", F.col("reach").alias("far"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("own"))
 
         def unit(table: pa.Table) -> pa.Table:
             dim, cell = table["dim"][0].as_py(), table["cell"][0].as_py()
@@ -202,9 +202,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
             held = table.filter(pa.array(~asks))
             codes = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint64).reshape(len(held), -1)
             length, own, order = held["far"].to_numpy(), held["own"].to_numpy(), np.flatnonzero(asks)
+            rest, reach = np.zeros_like(vectors), table["far"].to_numpy()
+            rest[order] = (vectors[order] - centres[dim][cell]) @ rotation_of(dim)
+            near, near_ids = vectors[~asks], ids[~asks]
             out: list[list[np.ndarray]] = [[np.zeros(0)] for _ in range(4)]
             for i in order if len(held) else ():
-                got, score = search_block(ids[~asks], vectors[~asks], codes, length, own, centres[dim][cell], ids[i], vectors[i], k)
+                got, score = search_block(near_ids, near, codes, length, own, ids[i], vectors[i], rest[i], k, reach[i])
                 for col, x in zip(out, (np.full(len(got), ids[i]), np.full(len(got), keys[i]), got, score)):
                     col.append(x)
             made = [np.concatenate(c[1:] or c) for c in out]
@@ -214,7 +217,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
 
     by_score = Window.partitionBy("query_id", "key").orderBy("score", "vec_id")
     best = lambda found: found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
-    home = tables.put(best(searched(asked.select("id", "key", "v", "dim", "cell"))))
+    home = tables.put(best(searched(asked.select("id", "key", "v", "dim", "cell", F.lit(float("inf")).alias("reach")))))
     reach = home.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "key", F.col("score").alias("reach"))
     rings: dict[int, list] = {dim: [] for dim in sizes}
     for r in sorted(cells):
@@ -231,10 +234,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
                 reach = part.column(5).fill_null(np.inf).to_numpy()
                 at, to = np.nonzero((nearest_member <= reach[:, None]) & (cell[None, :] != part.column(3).to_numpy()[:, None]))
                 taken = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*(taken.column(i) for i in (0, 1, 4, 2)), pa.array(cell[to].astype(np.int32))], ["id", "key", "v", "dim", "cell"])
+                cols = [*(taken.column(i) for i in (0, 1, 4, 2)), pa.array(cell[to].astype(np.int32)), pa.array(reach[at])]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "key", "v", "dim", "cell", "reach"])
 
     bounded = asked.select("id", "key", "dim", "cell", "v").join(reach, ["id", "key"], "left").select("id", "key", "dim", "cell", "v", "reach")
-    visits = tables.put(bounded.mapInArrow(frugal(visit), "id long, key long, v array<double>, dim int, cell int"))
+    visits = tables.put(bounded.mapInArrow(frugal(visit), "id long, key long, v array<double>, dim int, cell int, reach double"))
     found = home.drop("rank")
     if visits.limit(1).count():
         found = found.unionByName(searched(visits))
